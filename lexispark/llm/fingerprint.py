@@ -136,17 +136,14 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def cell(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        at = pd.Series(last, index=ids.index, dtype="int32")
-        at[known] = len(bounds) - np.searchsorted(bounds, ids[known].astype("int64"), side="right")
-        return at
+        return pd.Series((len(bounds) - np.searchsorted(bounds, ids, side="right")).astype(np.int32))
 
-    placed = rows.withColumn("pid", cell("doc_id"))
+    placed = rows.withColumn("pid", F.when(F.col("doc_id").isNull(), last).otherwise(cell(F.coalesce("doc_id", F.lit(0)))))
     heads = sorted((r["pid"], r["head"]) for r in placed.select("pid", "doc_id").groupBy("pid").agg(F.max("doc_id").alias("head")).collect())
     if not heads:
         return spark.createDataFrame([], _RESULT)
     follow = [(heads[(i + 1) % len(heads)][1], heads[i][0]) for i in range(len(heads))]
-    to = spark.createDataFrame(follow, "head long, dest int")
-    extra = rows.join(F.broadcast(to), rows.doc_id.eqNullSafe(to.head)).select(F.col("dest").alias("pid"), F.lit(True).alias("extra"), "doc_id", "text")
+    to = spark.createDataFrame(follow, "first_id long, dest int")
+    extra = rows.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.col("dest").alias("pid"), F.lit(True).alias("extra"), "doc_id", "text")
     dealt = placed.select("pid", F.lit(False).alias("extra"), "doc_id", "text").unionByName(extra).repartitionById(last + 1, "pid")
     return dealt.sortWithinPartitions("pid", "extra", F.desc_nulls_last("doc_id"), "text").mapInArrow(_chain, _RESULT)
