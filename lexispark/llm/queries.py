@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch, table
-from . import decontaminate, fingerprint, language, main_text, packing, token_counts, warc
+from . import decontaminate, fingerprint, language, main_text, ngram, packing, token_counts, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.remainder("doc_id", 10) == 0
+    return ngram.score(docs, ngram.learn(docs.where(~held_out)), held_out)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language.remainder("doc_id", 4) == 2
@@ -46,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_ngram_scores": op4_ngram_scores,
     "op5_language": op5_language,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
