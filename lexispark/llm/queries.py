@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch, table
-from . import decontaminate, fingerprint, language, main_text, ngram, packing, token_counts, warc
+from . import decontaminate, fingerprint, language, main_text, near_duplicates, ngram, packing, token_counts, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language.remainder("doc_id", 10) == 0
@@ -52,6 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_ngram_scores": op4_ngram_scores,
     "op5_language": op5_language,
     "op6_token_counts": op6_token_counts,
