@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 1 << 20
 _LOADED: dict[str, WordIds] = {}
+#: Characters beyond Latin letters, where lower case and composition may depend on what stands around.
+_BEYOND = re.compile("[^\x00-\u02ff]")
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -128,7 +133,12 @@ def power_windows(items: list[Piece], capacity: int) -> list[list[Piece]]:
 
 class WordIds:
     """Token ids of whole texts. Chunks between spaces are encoded once and remembered: this vocabulary drops white
-    space and merges within words only, so the ids of a text are those of its chunks in order."""
+    space and merges within words only, so the ids of a text are those of its chunks in order.
+
+    Texts of Latin letters without special strings are lower-cased first, as the vocabulary's own normaliser does,
+    and a chunk's trailing punctuation, which is a pre-token of its own, is encoded apart; both leave fewer different
+    chunks. New words of letters only are encoded together as one text, whose pre-tokens they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,16 +147,46 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
+    def _learn(self, missing: list[str]) -> None:
+        """Encode chunks as they are."""
+        letters: list[str] = []
+        rest: list[str] = []
+        for w in missing:
+            (letters if _PLAIN.fullmatch(w) else rest).append(w)
+        if letters:
+            got = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
+            ids, at = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+            cuts = np.searchsorted(at, np.arange(len(letters) + 1)) * 4
+            data = ids.tobytes()
+            if at[-1] + 1 != len(letters) or (np.diff(cuts) == 0).any():
+                rest = missing
+            else:
+                self.known.update(zip(letters, [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], strict=True))
+        if rest:
+            for word, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(got.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids, as little-endian unsigned 32-bit numbers."""
-        cut = [t.split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        if missing := list({w for words in cut for w in words if w not in self.known}):
-            for word, got in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in cut]
+        known, found, plain, other = self.known, [], set(), set()
+        for text in texts:
+            simple = "<|" not in text and not _BEYOND.search(text)
+            words = (text.lower() if simple else text).split(" ")
+            ids = list(map(known.get, words))
+            if None in ids:
+                (plain if simple else other).update([w for w, i in zip(words, ids, strict=True) if i is None])
+                found.append(words)
+            else:
+                found.append(b"".join(ids))
+        if plain or other:
+            cut = {w: n if not (n := len(w.rstrip(_MARKS))) or w[n - 1].isalnum() else len(w) for w in plain}
+            cores = {w[:n] for w, n in cut.items()} | {w[n:] for w, n in cut.items()} | other
+            self._learn([w for w in cores if w not in known])
+            for w, n in cut.items():
+                known[w] = known[w[:n]] + known[w[n:]]
+        return [x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x)) for x in found]
 
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
