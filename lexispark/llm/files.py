@@ -42,3 +42,10 @@ def mapped(folder: str, name: str) -> np.ndarray:
             fs.copy_files(f"{path}/{name}.npy", local, source_filesystem=filesystem, destination_filesystem=fs.LocalFileSystem())
         _MAPPED[key] = np.load(local, mmap_mode="r")
     return _MAPPED[key]
+
+
+def listed(folder: str) -> set[str]:
+    """Names of the arrays stored in a folder, without their last part (-key)."""
+    filesystem, path = open_folder(folder)
+    found = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return {f.base_name.removesuffix("-key.npy") for f in found if f.base_name.endswith("-key.npy") and not f.base_name.startswith(".")}

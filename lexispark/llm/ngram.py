@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch, shuffle_partitions
-from .files import mapped, put
+from .files import listed, mapped, put
 from .textops import column_bytes, mix64, slices, word_hashes
 
 BEGIN, END = np.uint64(0x8D5E9A3C17F4B260), np.uint64(0x3F0C6E81D2A975B4)
@@ -299,20 +299,10 @@ def learn(texts: DataFrame, folder: str | None = None, buckets: int | None = Non
         k_total=sum(i["k_total"] for i in words),
         k_kinds=[k_tally[0], k_tally[1], k_tally[4]],
         ends=ends,
-        present=_present(folder),
+        present=listed(folder),
     )
 
 
-def _present(folder: str) -> set[str]:
-    from pyarrow import fs
-
-    from .files import open_folder
-
-    filesystem, path = open_folder(folder)
-    found = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
-    return {f.base_name.removesuffix("-key.npy") for f in found if f.base_name.endswith("-key.npy") and not f.base_name.startswith(".")}
-
-
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 

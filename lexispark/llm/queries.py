@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch, table
-from . import decontaminate, fingerprint, language, main_text, near_duplicates, ngram, packing, token_counts, warc
+from . import decontaminate, fingerprint, language, main_text, near_duplicates, ngram, packing, repeats, token_counts, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return repeats.summary(docs, repeats.find_repeats(docs, length=200))
+
+
 def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language.remainder("doc_id", 10) == 0
@@ -57,6 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_ngram_scores": op4_ngram_scores,
     "op5_language": op5_language,
     "op6_token_counts": op6_token_counts,

@@ -21,7 +21,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hashes' multiplier, and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
             a = np.full(n, base, dtype=np.uint64)
@@ -61,7 +62,7 @@ def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    up, down = _powers(max(len(buf), BLOCK) + 1)
+    up, down = powers(max(len(buf), BLOCK) + 1)
     low = buf + (((buf >= 65) & (buf <= 90)).astype(np.uint8) << 5)
     sums = np.empty(len(buf) + 1, np.uint64)
     sums[0] = 0
