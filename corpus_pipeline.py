@@ -1,12 +1,60 @@
-"""A corpus from raw documents to packed windows, in stages that each call one operator."""
+"""A corpus from raw documents to packed token windows, in stages that each call one operator of lexispark.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All stages but the last return the columns of documents, whatever they are.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexispark.llm import decontaminate, language, near_duplicates, packing, repeats
 from lexispark.session import settle, table
 
-STAGES: list = []
+#: Regression score under which no language is taken to fit a text.
+LEAST_LANGUAGE_SCORE = 0.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has letters and fits a learned language."""
+    model = language.fit(docs.where(language.remainder("doc_id", 4) != 2))
+    found = language.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return found.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group linked by sets of five-word shingles alike by 0.8."""
+    dropped = settle(near_duplicates.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= near_duplicates.BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 200 bytes that occur more than once; every document stays, some with an empty text."""
+    return repeats.without_repeats(docs, repeats.find_repeats(docs, length=200))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("packing", packed),
+]
+
+#: Language identification and tokenizing can't be expressed in SQL; tests/llm holds stages against brute force.
 ORACLE_SQL = None
 
 
