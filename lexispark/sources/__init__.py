@@ -1 +1 @@
-"""See the modules."""
+"""Readers, writers and generators."""

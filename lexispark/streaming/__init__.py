@@ -1 +1 @@
-"""See the modules."""
+"""Streams of patterns against a stored index."""
