@@ -20,8 +20,7 @@ LEAST_LANGUAGE_SCORE = 0.25
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and fits a learned language."""
     model = language.fit(docs.where(language.remainder("doc_id", 4) != 2))
-    found = language.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return found.select(docs.columns)
+    return language.keep(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

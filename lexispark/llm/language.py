@@ -146,3 +146,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return rest.mapInArrow(work, T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows of docs, unchanged, whose language is known with a score of at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(work, T.StructType(docs.schema.fields))
