@@ -133,7 +133,8 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) ->
             a, z = a - base, z - base
             return mix64((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-        yield Runs(lo + base, hi + base, at[lo] + base, h[at[lo]], stretch(lo + base, hi + base + length), np.searchsorted(offsets, lo + base, side="right") - 1), stretch
+        # anchors are minima, so their hashes are small: mixed again, they spread over the buckets
+        yield Runs(lo + base, hi + base, at[lo] + base, mix64(h[at[lo]]), stretch(lo + base, hi + base + length), np.searchsorted(offsets, lo + base, side="right") - 1), stretch
 
 
 def _count(length: int, buckets: int):
