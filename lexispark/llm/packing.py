@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 _LOADED: dict[str, WordIds] = {}
 #: Characters beyond Latin letters, where lower case and composition may depend on what stands around.
 _BEYOND = re.compile("[^\x00-\u02ff]")
@@ -137,14 +137,23 @@ class WordIds:
 
     Texts of Latin letters without special strings are lower-cased first, as the vocabulary's own normaliser does,
     and a chunk's trailing punctuation, which is a pre-token of its own, is encoded apart; both leave fewer different
-    chunks. New words of letters only are encoded together as one text, whose pre-tokens they are.
+    chunks. New words of letters only are pre-tokens already and go straight to the library's model, in its byte
+    alphabet; their ids are told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])}
+        self.table = str.maketrans(self.alphabet)
         self.known: dict[str, bytes] = {"": b""}
 
     def _learn(self, missing: list[str]) -> None:
@@ -154,14 +163,14 @@ class WordIds:
         for w in missing:
             (letters if _PLAIN.fullmatch(w) else rest).append(w)
         if letters:
-            got = self.tokenizer.encode(" ".join(letters), add_special_tokens=False)
-            ids, at = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            cuts = np.searchsorted(at, np.arange(len(letters) + 1)) * 4
-            data = ids.tobytes()
-            if at[-1] + 1 != len(letters) or (np.diff(cuts) == 0).any():
+            mapped = [w if w.isascii() else w.translate(self.table) for w in letters]
+            ids = np.array(self.model.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) * 4 + 4
+            if len(cuts) != len(letters):
                 rest = missing
             else:
-                self.known.update(zip(letters, [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], strict=True))
+                data, cuts = ids.tobytes(), [0, *cuts.tolist()]
+                self.known.update(zip(letters, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         if rest:
             for word, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(got.ids, "<u4").tobytes()
@@ -175,18 +184,21 @@ class WordIds:
             simple = "<|" not in text and not _BEYOND.search(text)
             words = (text.lower() if simple else text).split(" ")
             ids = list(map(known.get, words))
-            if None in ids:
-                (plain if simple else other).update([w for w, i in zip(words, ids, strict=True) if i is None])
-                found.append(words)
-            else:
-                found.append(b"".join(ids))
+            new = [(i, words[i]) for i, x in enumerate(ids) if x is None]
+            (plain if simple else other).update([w for _, w in new])
+            found.append((ids, new))
         if plain or other:
-            cut = {w: n if not (n := len(w.rstrip(_MARKS))) or w[n - 1].isalnum() else len(w) for w in plain}
-            cores = {w[:n] for w, n in cut.items()} | {w[n:] for w, n in cut.items()} | other
+            cut = {w: n for w in plain if not w[-1].isalnum() and (not (n := len(w.rstrip(_MARKS))) or w[n - 1].isalnum())}
+            cores = plain.difference(cut) | other
+            cores.update([w[:n] for w, n in cut.items()])
+            cores.update([w[n:] for w, n in cut.items()])
             self._learn([w for w in cores if w not in known])
             for w, n in cut.items():
                 known[w] = known[w[:n]] + known[w[n:]]
-        return [x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x)) for x in found]
+        for ids, new in found:
+            for i, w in new:
+                ids[i] = known[w]
+        return [b"".join(ids) for ids, _ in found]
 
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
