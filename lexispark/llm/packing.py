@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks of text whose ids a worker remembers.
+from .textops import column_bytes, picked, word_spans
+
+#: Words and chunks of text whose ids a worker remembers.
 REMEMBERED = 1 << 21
 _LOADED: dict[str, WordIds] = {}
-#: Characters beyond Latin letters, where lower case and composition may depend on what stands around.
-_BEYOND = re.compile("[^\x00-\u02ff]")
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -132,13 +132,15 @@ def power_windows(items: list[Piece], capacity: int) -> list[list[Piece]]:
 
 
 class WordIds:
-    """Token ids of whole texts. Chunks between spaces are encoded once and remembered: this vocabulary drops white
-    space and merges within words only, so the ids of a text are those of its chunks in order.
-
-    Texts of Latin letters without special strings are lower-cased first, as the vocabulary's own normaliser does,
-    and a chunk's trailing punctuation, which is a pre-token of its own, is encoded apart; both leave fewer different
-    chunks. New words of letters only are pre-tokens already and go straight to the library's model, in its byte
-    alphabet; their ids are told apart by the tokens that end a word.
+    """Token ids of whole texts.
+
+    This vocabulary drops white space and merges within words only, so the ids of a text are those of its words in
+    order. Words are told apart by 64-bit hashes and encoded once; a batch looks up its different words and gathers
+    their ids as arrays. Words are lower-cased first, as the vocabulary's normaliser does, and trailing punctuation, a
+    pre-token of its own, is encoded apart, so that fewer words differ. New words of letters only are pre-tokens
+    already and go straight to the library's model, in its byte alphabet; their ids are told apart by the tokens that
+    end a word. Texts with special strings, or with characters beyond Latin letters, whose lower case and composition
+    depend on what stands around, are encoded by the whole tokenizer, between spaces.
     """
 
     def __init__(self, path: str):
@@ -152,59 +154,105 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet = {c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])}
-        self.table = str.maketrans(self.alphabet)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode chunks as they are."""
-        letters: list[str] = []
-        rest: list[str] = []
-        for w in missing:
-            (letters if _PLAIN.fullmatch(w) else rest).append(w)
+        self.table = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks: dict[str, bytes] = {"": b""}  # of texts for the whole tokenizer, and of punctuation
+        self.place: dict[int, int] = {}  # of a word's hash
+        self.begin, self.count, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as they are, by the whole tokenizer."""
+        if missing := list({c for c in chunks if c not in self.chunks}):
+            for chunk, got in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
+                self.chunks[chunk] = np.array(got.ids, "<u4").tobytes()
+        return [self.chunks[c] for c in chunks]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of different lower-case words."""
+        cores, tails, letters, rest = [], {}, {}, []
+        for i, w in enumerate(words):
+            if not w[-1].isalnum():
+                n = len(w.rstrip(_MARKS))
+                if n < len(w) and (not n or w[n - 1].isalnum()):
+                    tails[i] = w[n:]
+                    w = w[:n]
+            cores.append(w)
+            if w.isalpha() and (w.isascii() or _PLAIN.fullmatch(w)):
+                letters[w] = b""
+            elif w:
+                rest.append(w)
         if letters:
             mapped = [w if w.isascii() else w.translate(self.table) for w in letters]
             ids = np.array(self.model.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) * 4 + 4
             if len(cuts) != len(letters):
-                rest = missing
-            else:
-                data, cuts = ids.tobytes(), [0, *cuts.tolist()]
-                self.known.update(zip(letters, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-        if rest:
-            for word, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids, as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known, found, plain, other = self.known, [], set(), set()
-        for text in texts:
-            simple = "<|" not in text and not _BEYOND.search(text)
-            words = (text.lower() if simple else text).split(" ")
-            ids = list(map(known.get, words))
-            new = [(i, words[i]) for i, x in enumerate(ids) if x is None]
-            (plain if simple else other).update([w for _, w in new])
-            found.append((ids, new))
-        if plain or other:
-            cut = {w: n for w in plain if not w[-1].isalnum() and (not (n := len(w.rstrip(_MARKS))) or w[n - 1].isalnum())}
-            cores = plain.difference(cut) | other
-            cores.update([w[:n] for w, n in cut.items()])
-            cores.update([w[n:] for w, n in cut.items()])
-            self._learn([w for w in cores if w not in known])
-            for w, n in cut.items():
-                known[w] = known[w[:n]] + known[w[n:]]
-        for ids, new in found:
-            for i, w in new:
-                ids[i] = known[w]
-        return [b"".join(ids) for ids, _ in found]
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            data, cuts = ids.tobytes(), [0, *cuts.tolist()]
+            letters = dict(zip(letters, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        letters.update(zip(rest, self._whole(rest), strict=True))
+        letters[""] = b""
+        out = [letters[w] for w in cores]
+        for i, tail in zip(tails, self._whole(list(tails.values())), strict=True):
+            out[i] += tail
+        return out
+
+    def _remember(self, hashes: list[int], ids: list[bytes]) -> None:
+        data, n = np.frombuffer(b"".join(ids), "<u4"), len(ids)
+        count = np.array([len(x) // 4 for x in ids], np.int64)
+        while self.used + n > len(self.begin):
+            self.begin, self.count = np.concatenate([self.begin, self.begin]), np.concatenate([self.count, self.count])
+        while self.filled + len(data) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.filled : self.filled + len(data)] = data
+        self.begin[self.used : self.used + n] = self.filled + np.cumsum(count) - count
+        self.count[self.used : self.used + n] = count
+        self.place.update(zip(hashes, range(self.used, self.used + n), strict=True))
+        self.used += n
+        self.filled += len(data)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Of each text its ids, as little-endian unsigned 32-bit numbers; null is empty."""
+        if len(self.place) + len(self.chunks) > REMEMBERED:
+            self._forget()
+        buf, offsets = column_bytes(texts)
+        h, start, end, rows = word_spans(buf, offsets)
+        beyond = buf >= 0xCC  # the first byte of characters from U+0300 on
+        beyond[:-1] |= (buf[:-1] == ord("<")) & (buf[1:] == ord("|"))
+        odd = np.unique(np.searchsorted(offsets, np.flatnonzero(beyond), side="right") - 1)
+        if len(odd):
+            owner = np.repeat(np.arange(len(texts)), np.diff(rows))
+            keep = ~np.isin(owner, odd)
+            rows = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(texts)))])
+            h, start, end = h[keep], start[keep], end[keep]
+        names, first, which = np.unique(h, return_index=True, return_inverse=True)
+        names = names.tolist()
+        at = list(map(self.place.get, names))
+        if None in at:
+            new = [i for i, x in enumerate(at) if x is None]
+            raw = buf.tobytes()
+            words = [raw[a:z].decode().lower() for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            fresh = [names[i] for i in new]
+            self._remember(fresh, self._words(words))
+            for i, x in zip(new, map(self.place.__getitem__, fresh), strict=True):
+                at[i] = x
+        at = np.array(at, np.int64)[which] if len(names) else np.zeros(0, np.int64)
+        count = self.count[at]
+        has = count > 0
+        ids = picked(self.flat, self.begin[at[has]], count[has])
+        cuts = np.concatenate([[0], np.cumsum(count)])[rows].tolist()
+        out = [ids[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in odd.tolist():
+            out[i] = b"".join(self._whole(texts[i].as_py().split(" ")))
+        return out
 
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, block: int = 1 << 20, group: int = 512) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, block: int = 1 << 20, group: int = 1024) -> DataFrame:
     """Pieces of all documents, each id in exactly one piece; block is the number of tokens packed at once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +278,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096
         for batch in batches:
             ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for at in range(0, len(texts), group):
-                for doc_id, ids in zip(ids_of[at : at + group], words.encode([t or "" for t in texts.slice(at, group).to_pylist()]), strict=True):
+                for doc_id, ids in zip(ids_of[at : at + group], words.encode(texts.slice(at, group)), strict=True):
                     ids += end
                     held[next_item] = doc_id, ids
                     n = len(ids) // 4

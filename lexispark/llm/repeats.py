@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..session import scratch, shuffle_partitions
 from .files import listed, mapped, put
 from .induced import sorted_suffixes
-from .textops import BLOCK, column_bytes, mix64, powers
+from .textops import BLOCK, column_bytes, mix64, picked, powers
 
 GRAM = 50
 #: Runs and bytes a task gathers before it sends them on; bytes sorted at once; occurrences from which a class is split, and the starts of a part.
@@ -240,7 +240,7 @@ def _gather(folder: str, present: set[str], length: int, buckets: int):
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     a, z = cuts[b], cuts[b + 1]
                     own = first[region[a] : region[z - 1] + 1]
-                    rows.append(_row(b, 0, key=name[own], hash=text[own], size=length_[own], text=_pick(data, begin[own], length_[own]), region=(region[a:z] - region[a]).astype(np.int32), doc=doc[a:z], lo=lo[a:z]))
+                    rows.append(_row(b, 0, key=name[own], hash=text[own], size=length_[own], text=picked(data, begin[own], length_[own]), region=(region[a:z] - region[a]).astype(np.int32), doc=doc[a:z], lo=lo[a:z]))
                 yield _batch(rows)
             if spans:
                 yield _batch(_span_rows(*(np.concatenate(x) for x in zip(*spans, strict=True)), buckets))
@@ -263,7 +263,7 @@ def _gather(folder: str, present: set[str], length: int, buckets: int):
                     long = some.hi + length - some.lo
                     # a task sends each text of this block once
                     held.append((some.name, some.text, long, keys[some.row], some.lo - offsets[some.row]))
-                    texts.append(_pick(buf, some.lo, long))
+                    texts.append(picked(buf, some.lo, long))
                     size += int(long.sum()) + 40 * len(long)
                 if size >= FLUSH_BYTES:
                     yield from flush()
@@ -272,16 +272,6 @@ def _gather(folder: str, present: set[str], length: int, buckets: int):
     return work
 
 
-def _pick(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches of data, one after the other."""
-    if not len(size):
-        return data[:0]
-    step = np.ones(int(size.sum()), np.int64)
-    at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    step[at] = begin - np.concatenate([[0], (begin + size - 1)[:-1]])
-    return data[np.cumsum(step)]
-
-
 def _span_rows(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, buckets: int) -> list[tuple]:
     doc, lo, hi = merged(doc, lo, hi)
     cuts = np.searchsorted(bucket_of(doc, buckets), np.arange(buckets + 1))

@@ -48,8 +48,8 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of one block; cuts are offsets at which a row begins."""
+def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of one block; cuts are offsets at which a row begins."""
     gap = (buf == 0x20) | ((buf >= 0x09) & (buf <= 0x0D))
     solid = ~gap
     first = solid.copy()
@@ -61,7 +61,7 @@ def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[inner - 1] |= solid[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), starts, ends
     up, down = powers(max(len(buf), BLOCK) + 1)
     low = buf + (((buf >= 65) & (buf <= 90)).astype(np.uint8) << 5)
     sums = np.empty(len(buf) + 1, np.uint64)
@@ -69,15 +69,16 @@ def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
     value = (sums[ends] - sums[starts]) * down[starts]
     value += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(value), starts
+    return mix64(value), starts, ends
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all rows, A-Z lower-cased, and n + 1 row offsets into them.
+def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all rows, A-Z lower-cased, their first bytes and the bytes
+    after their last, and n + 1 row offsets into them.
 
     Works in blocks that end between words, so that the temporary arrays stay small.
     """
-    hashes, starts, lo, n = [], [], 0, len(buf)
+    found, lo, n = [], 0, len(buf)
     while lo < n:
         hi = min(n, lo + BLOCK)
         while hi < n:  # a block ends at a row's start or at white space
@@ -92,13 +93,31 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
                 break
             hi += len(nearby)
         a, b = np.searchsorted(offsets, lo), np.searchsorted(offsets, hi)
-        h, s = _block_words(buf[lo:hi], offsets[a:b] - lo)
-        hashes.append(h)
-        starts.append(s + lo)
+        h, start, end = _block_words(buf[lo:hi], offsets[a:b] - lo)
+        found.append((h, start + lo, end + lo))
         lo = hi
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    h, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, start, end, np.searchsorted(start, offsets)
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and n + 1 row offsets into them."""
+    h, _, _, rows = word_spans(buf, offsets)
+    return h, rows
+
+
+def picked(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of data, none of them empty, one after the other."""
+    if not len(size):
+        return data[:0]
+    step = np.ones(int(size.sum()), np.int64)
+    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    step[at] = begin - np.concatenate([[0], (begin + size - 1)[:-1]])
+    return data[np.cumsum(step)]
+
+
 
 
 def slices(offsets: np.ndarray, limit: int = 4 * BLOCK):

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -40,9 +41,9 @@ def test_ids_equal_the_library(documents, monkeypatch):
     texts = strange(1500) + [r["text"] for r in documents.select("text").limit(60).collect()]
     want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
     words = packing.WordIds(WORDS)
-    assert words.encode(texts) == want
+    assert words.encode(pa.array([*texts, None])) == [*want, b""]
     monkeypatch.setattr(packing, "REMEMBERED", 10)
-    assert [x for t in texts for x in words.encode([t])] == want
+    assert [x for t in texts for x in words.encode(pa.array([t]))] == want
 
 
 @pytest.mark.parametrize("block", [1 << 20, 300])
