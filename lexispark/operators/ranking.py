@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -14,45 +15,56 @@ from pyspark.sql import types as T
 from ..session import settle, shuffle_partitions
 
 
+_EXTRA = [("_pid", T.IntegerType()), ("_li", T.LongType()), ("_run", T.LongType()), ("_single", T.BooleanType()), ("_sum", T.LongType())]
+
+
 def _numbered(df: DataFrame, keys: list[str], add: str | None) -> DataFrame:
-    """Rows with partition, index in it, index of the first row with equal keys, and the running sum before the row."""
+    """Rows with partition, index in it, index of the first row with equal keys, whether no other row has these keys,
+    and the running sum before the row."""
     at = [df.columns.index(k) for k in keys]
     value = df.columns.index(add) if add else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, count, run, total, last = TaskContext.get().partitionId(), 0, 0, 0, None
+        pid, count, run, total, last, held = TaskContext.get().partitionId(), 0, 0, 0, None, None
+
+        def finished(entry: tuple, again: bool) -> pa.RecordBatch:
+            """A batch, once it is known whether the next one starts with the same keys."""
+            batch, li, runs, fresh, before = entry
+            single = fresh & np.append(fresh[1:], not again)
+            out = [pa.array(np.full(batch.num_rows, pid, np.int32)), pa.array(li), pa.array(runs), pa.array(single), pa.array(before)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(n for n, _ in _EXTRA)])
+
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             columns = [batch.column(i) for i in at]
-            fresh = None
+            fresh = np.zeros(n, bool)
             for c in columns:
-                differs = pc.not_equal(c.slice(1), c.slice(0, n - 1))
-                fresh = differs if fresh is None else pc.or_(fresh, differs)
+                fresh[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
             first = tuple(c[0].as_py() for c in columns)
-            starts = [first != last, *fresh.to_pylist()]
+            fresh[0] = first != last
+            if held:
+                yield finished(held, first == last)
             last = tuple(c[n - 1].as_py() for c in columns)
-            runs = []
-            for i, new in enumerate(starts):
-                if new:
-                    run = count + i
-                runs.append(run)
-            before = []
-            for v in batch.column(value).to_pylist() if add else ():
-                before.append(total)
-                total += v
-            out = [pa.array([pid] * n, pa.int32()), pa.array(range(count, count + n), pa.int64()), pa.array(runs, pa.int64()), pa.array(before if add else [0] * n, pa.int64())]
+            li = np.arange(count, count + n)
+            runs = np.maximum.accumulate(np.where(fresh, li, run))
+            run = int(runs[-1])
+            sums = np.cumsum(batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)) if add else np.zeros(n, np.int64)
+            before = np.concatenate([[0], sums[:-1]]) + total
+            total += int(sums[-1])
             count += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, "_pid", "_li", "_run", "_sum"])
+            held = batch, li, runs, fresh, before
+        if held:
+            yield finished(held, False)
 
     ordered = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    extra = [T.StructField("_pid", T.IntegerType()), T.StructField("_li", T.LongType()), T.StructField("_run", T.LongType()), T.StructField("_sum", T.LongType())]
-    return settle(ordered.mapInArrow(work, T.StructType([*df.schema.fields, *extra])), "order")
+    return settle(ordered.mapInArrow(work, T.StructType([*df.schema.fields, *(T.StructField(*x) for x in _EXTRA)])), "order")
 
 
 def ranked(df: DataFrame, keys: list[str], add: str | None = None) -> DataFrame:
-    """df with idx (0-based position by keys) and bucket (idx of the first row with equal keys).
+    """df with idx (0-based position by keys), bucket (idx of the first row with equal keys) and single (whether no
+    other row has these keys).
 
     With add, also before: the sum of that column over all rows in front. Rows are range-partitioned, so equal keys share
     a partition; the numbers are stored before they are used, as another run might draw other bounds. Only one row for
@@ -67,7 +79,7 @@ def ranked(df: DataFrame, keys: list[str], add: str | None = None) -> DataFrame:
         n, s = n + r["n"], s + (r["s"] or 0)
     table = spark.createDataFrame(offsets, "_pid int, _n long, _s long")
     joined = rows.join(F.broadcast(table), "_pid")
-    extra = [(F.col("_li") + F.col("_n")).alias("idx"), (F.col("_run") + F.col("_n")).alias("bucket")]
+    extra = [(F.col("_li") + F.col("_n")).alias("idx"), (F.col("_run") + F.col("_n")).alias("bucket"), F.col("_single").alias("single")]
     if add:
         extra.append((F.col("_sum") + F.col("_s")).alias("before"))
     return joined.select(*df.columns, *extra)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from . import kmers, stringsets
-from .ranking import active, ranked
+from .ranking import ranked
 
 
 @dataclass
@@ -31,32 +31,29 @@ class SuffixArray:
 
 def _refined(table: DataFrame, h: int, times: int) -> tuple[DataFrame, bool]:
     """Buckets by the first h * times symbols, from those by h. Only rows of shared buckets are sorted again."""
-    todo = settle(active(table).select("str_id", "pos", "bucket"), "active")
-    keyed = todo
+    keyed = table.where("NOT single").select("str_id", "pos", F.col("bucket").alias("old"))
     for j in range(1, times):
         ahead = table.select("str_id", (F.col("pos") - j * h).alias("pos"), (F.col("bucket") + 1).alias(f"b{j}"))
         keyed = keyed.join(ahead, ["str_id", "pos"], "left").withColumn(f"b{j}", F.coalesce(f"b{j}", F.lit(0).cast("long")))
-    keys = ["bucket", *[f"b{j}" for j in range(1, times)]]
-    sorted_rows = ranked(keyed.withColumnRenamed("bucket", "old"), ["old", *keys[1:]]).select("str_id", "pos", "old", F.col("bucket").alias("own"))
-    base = sorted_rows.groupBy("old").agg(F.min("own").alias("base"), F.max("own").alias("top"))
+    rows = ranked(keyed, ["old", *[f"b{j}" for j in range(1, times)]]).select("str_id", "pos", "old", F.col("bucket").alias("own"), "single")
+    base = settle(rows.groupBy("old").agg(F.min("own").alias("base"), F.max("own").alias("top")), "base")
     split = not base.where("top > base").isEmpty()
-    fresh = sorted_rows.join(base, "old").select("str_id", "pos", (F.col("old") + F.col("own") - F.col("base")).alias("bucket"))
-    done = table.join(todo.select("str_id", "pos"), ["str_id", "pos"], "left_anti").select("str_id", "pos", "bucket")
-    return done.unionByName(fresh), split
+    fresh = rows.join(base, "old").select("str_id", "pos", (F.col("old") + F.col("own") - F.col("base")).alias("bucket"), "single")
+    return table.where("single").select("str_id", "pos", "bucket", "single").unionByName(fresh), split
 
 
 def _construct(first: DataFrame, sizes: DataFrame, k: int, times: int) -> SuffixArray:
-    table = settle(ranked(first, ["key"]).select("str_id", "pos", "bucket"), "buckets")
+    table = settle(ranked(first, ["key"]).select("str_id", "pos", "bucket", "single"), "buckets")
     longest = sizes.agg(F.max("size")).first()[0] or 0
     levels, h = [(k, table)], k
-    while h <= longest:
+    while h <= longest and not table.where("NOT single").isEmpty():
         found, split = _refined(table, h, times)
         if not split:  # equal suffixes only: a stable partition stays stable
             break
         table, h = settle(found, "buckets"), h * times
         levels.append((h, table))
-    whole = table.join(sizes.select("str_id", "begin"), "str_id").select("str_id", "pos", "bucket", (F.col("begin") + F.col("pos")).alias("gidx"))
-    sa = ranked(whole.withColumnRenamed("bucket", "b"), ["b", "gidx"]).select(F.col("idx").alias("rank"), "str_id", "pos", "gidx")
+    whole = table.join(sizes.select("str_id", "begin"), "str_id").select("str_id", "pos", F.col("bucket").alias("b"), (F.col("begin") + F.col("pos")).alias("gidx"))
+    sa = ranked(whole, ["b", "gidx"]).select(F.col("idx").alias("rank"), "str_id", "pos", "gidx")
     return SuffixArray(sa, levels, first, sizes)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..operators import alphabet, checks, gather, kmers, locate, ranking, rmq, stringsets, suffix_tree, toplevel
+from ..operators import alphabet, checks, gather, kmers, local_suffix, locate, ranking, rmq, stringsets, suffix_tree, toplevel
 from ..operators import suffix_array as S
 from ..operators.ansv import ansv
 from ..session import scratch, settle, table
@@ -262,10 +262,25 @@ def generalized_lcp(spark, sf):
     return S.lcp_array(S.suffix_array(part_set(spark, sf), k=4)).select("rank", "lcp")
 
 
+@query(f"WITH {PART_LCP}, g AS (SELECT l.*, o.gidx FROM l JOIN o ON o.rank = l.rank) SELECT rank, str_id, pos, gidx, lcp FROM g")
+def suffix_array_one_task(spark, sf):
+    """The strategy for sets that fit one task."""
+    return local_suffix.local_suffix_array(part_set(spark, sf))
+
+
 @query()
 def documents_suffix_array(spark, sf):
-    """Generalized suffix array of all documents; held against brute force in the tests."""
-    return S.suffix_array(document_set(spark, sf), k=16).sa
+    """Generalized suffix array of all documents by the strategy their size asks for; tests hold both against brute force."""
+    strings = document_set(spark, sf)
+    if local_suffix.fits(strings):
+        return local_suffix.local_suffix_array(strings, common=False).drop("lcp")
+    return S.suffix_array(strings, k=32, times=4).sa
+
+
+@query()
+def documents_suffix_array_distributed(spark, sf):
+    """The same by distributed doubling, whatever the size."""
+    return S.suffix_array(document_set(spark, sf), k=32, times=4).sa
 
 
 # nearest smaller values
