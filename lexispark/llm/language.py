@@ -86,18 +86,19 @@ def train(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((GRAMS, 0), np.float32))
-    unit = rows.astype(np.float32)
-    unit /= np.sqrt(np.maximum(unit.sum(axis=1), 1))[:, None]
+    size = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
     turn: dict[str, int] = {}
     place = [(turn.setdefault(x, 0), i) for i, x in enumerate(labels) if turn.update({x: turn.get(x, -1) + 1}) is None]
-    marks = unit[[i for _, i in sorted(place)[:landmarks]]]
+    chosen = [i for _, i in sorted(place)[:landmarks]]
+    marks = rows[chosen] / size[chosen][:, None]
     value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
     use = value > 1e-6 * value.max()
     back = vector[:, use] / np.sqrt(value[use])
-    features = (unit @ marks.T).astype(float) @ back
+    kernel = np.concatenate([rows[i : i + 128].astype(np.float32) @ marks.T / size[i : i + 128][:, None] for i in range(0, len(rows), 128)])
+    features = kernel.astype(float) @ back
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     dual = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ target)
-    return Model(languages, (marks.T.astype(float) @ (back @ dual)).astype(np.float32))
+    return Model(languages, marks.T @ (back @ dual).astype(np.float32))
 
 
 def remainder(column: str, modulus: int):
