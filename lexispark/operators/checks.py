@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import alphabet
+from . import alphabet, rmq
 from .suffix_array import SuffixArray
 
 
@@ -32,21 +32,20 @@ def check_sa(index: SuffixArray, strings: DataFrame) -> DataFrame:
 
 
 def check_lcp(index: SuffixArray, lcp: DataFrame, strings: DataFrame) -> DataFrame:
-    """wrong: common prefixes that two neighbours don't have, or that could be longer by a symbol."""
+    """wrong: values that don't follow from the others.
+
+    Two neighbours share nothing if their first symbols differ; else one symbol more than the suffixes one place on,
+    which share the smallest value between their ranks (nothing where one of them is the end).
+    """
     chars = alphabet.characters(strings)
-    sizes = index.sizes.select("str_id", "size")
-    rows = lcp.where(F.col("p_str").isNotNull())
-    long = rows.join(sizes, "str_id").join(sizes.select(F.col("str_id").alias("p_str"), F.col("size").alias("p_size")), "p_str")
-    over = long.where((F.col("pos") + F.col("lcp") > F.col("size")) | (F.col("p_pos") + F.col("lcp") > F.col("p_size"))).select("rank")
-    own = chars.select("str_id", F.col("pos").alias("_a"), F.col("ch").alias("x"))
-    other = chars.select(F.col("str_id").alias("p_str"), F.col("pos").alias("_b"), F.col("ch").alias("y"))
-    next_ = rows.withColumn("_a", F.col("pos") + F.col("lcp")).withColumn("_b", F.col("p_pos") + F.col("lcp")).join(own, ["str_id", "_a"]).join(other, ["p_str", "_b"])
-    more = next_.where("x = y").select("rank")
-    # the prefix itself: the suffixes one symbol on share one symbol less
-    ahead = rows.where("lcp > 0").join(chars.select("str_id", "pos", F.col("ch").alias("x")), ["str_id", "pos"]).join(chars.select(F.col("str_id").alias("p_str"), F.col("pos").alias("p_pos"), F.col("ch").alias("y")), ["p_str", "p_pos"])
-    first = ahead.where("x != y").select("rank")
-    start = lcp.where("rank = 0 AND lcp != 0").select("rank")
-    return over.unionByName(more).unionByName(first).unionByName(start).agg(F.count_distinct("rank").alias("wrong"))
+    rows = lcp.join(chars, ["str_id", "pos"]).join(chars.select(F.col("str_id").alias("p_str"), F.col("pos").alias("p_pos"), F.col("ch").alias("p_ch")), ["p_str", "p_pos"], "left")
+    rows = rows.withColumn("same", F.coalesce(F.col("ch") == F.col("p_ch"), F.lit(False)))
+    ahead = index.sa.select("str_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("own"))
+    before = index.sa.select(F.col("str_id").alias("p_str"), (F.col("pos") - 1).alias("p_pos"), F.col("rank").alias("other"))
+    asked = rows.where("same").join(ahead, ["str_id", "pos"]).join(before, ["p_str", "p_pos"]).select(F.col("rank").alias("qid"), (F.col("other") + 1).alias("l"), (F.col("own") + 1).alias("r"))
+    least = rmq.bulk_rmq(asked, lcp.select(F.col("rank").alias("idx"), F.col("lcp").alias("v"))).select(F.col("qid").alias("rank"), "vmin")
+    want = F.when(F.col("same"), 1 + F.coalesce("vmin", F.lit(0).cast("long"))).otherwise(0)
+    return rows.join(least, "rank", "left").where(F.col("lcp") != want).agg(F.count("*").alias("wrong"))
 
 
 def check_suffix_tree(edges: DataFrame, n: int) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow_text import column_bytes, strings
 
+#: Characters handled at once.
+STEP = 1 << 18
 
 
 def optimal_k(requested: int, bits: int, longest: int, word: int = 63) -> int:
@@ -14,11 +21,31 @@ def optimal_k(requested: int, bits: int, longest: int, word: int = 63) -> int:
     return max(1, min(requested or most, most, longest))
 
 
-def kmers(strings: DataFrame, k: int) -> DataFrame:
-    """str_id, pos, kmer; k-mers at a string's end are shorter. Work is linear in k times the text's length."""
-    ready = strings.where(F.length("text") > 0).select("str_id", F.filter(F.split("text", ""), lambda c: c != "").alias("c"))
-    each = F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.array_join(F.slice(F.col("c"), i, F.lit(k)), ""))
-    return ready.select("str_id", F.posexplode(each).alias("pos", "kmer")).select("str_id", F.col("pos").cast("long").alias("pos"), "kmer")
+def _windows(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Row, position and k-mer of all characters, some at a time: stretches of the column's own bytes."""
+    buf, offsets = column_bytes(column)
+    starts = np.flatnonzero((buf & 0xC0) != 0x80)
+    if not len(starts):
+        return
+    first = np.searchsorted(starts, offsets)  # of each row its first character
+    bounds = np.append(starts, len(buf))
+    for at in range(0, len(starts), STEP):
+        c = np.arange(at, min(at + STEP, len(starts)))
+        row = np.searchsorted(first, c, side="right") - 1
+        end = bounds[np.minimum(c + k, first[row + 1])]
+        yield row, c - first[row], strings(buf, starts[c], end - starts[c])
+
+
+def kmers(texts: DataFrame, k: int) -> DataFrame:
+    """str_id, pos, kmer of strings (str_id, text); k-mers at a string's end are shorter."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for row, pos, found in _windows(batch.column(1), k):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(pos), found], names=["str_id", "pos", "kmer"])
+
+    return texts.select(F.col("str_id").cast("long").alias("str_id"), "text").mapInArrow(work, "str_id long, pos long, kmer string")
 
 
 def packed_kmers(strings: DataFrame, alphabet: DataFrame, k: int, bits: int) -> DataFrame:
@@ -42,9 +69,13 @@ def decode_kmers(packed: DataFrame, alphabet: DataFrame, k: int, bits: int) -> D
     return packed.withColumn("kmer", F.concat(*parts))
 
 
-def kmer_histogram(strings: DataFrame, k: int) -> DataFrame:
-    """kmer and n over all positions."""
-    return kmers(strings, k).groupBy("kmer").agg(F.count("*").alias("n"))
-
+def kmer_histogram(texts: DataFrame, k: int) -> DataFrame:
+    """kmer and n over all positions; counted by batches before the exchange."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, found in _windows(batch.column(0), k):
+                counts = found.value_counts()
+                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["kmer", "n"])
 
+    return texts.select("text").mapInArrow(work, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))

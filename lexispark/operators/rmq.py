@@ -37,7 +37,7 @@ def bulk_rmq(queries: DataFrame, values: DataFrame, payload: str | None = None,
     wide = q.where("x < y")
     left = wide.join(ends.select(F.col("idx").alias("l"), F.col("behind").alias("e")), "l").select("qid", "e")
     right = wide.join(ends.select(F.col("idx").alias("z"), F.col("ahead").alias("e")), "z").select("qid", "e")
-    middle = wide.where("y - x > 1").withColumn("k", (F.length(F.bin(F.col("y") - F.col("x") - 1)) - 1).cast("int"))
+    middle = wide.where("y - x > 1").withColumn("k", (F.length(F.bin(F.greatest(F.col("y") - F.col("x") - 1, F.lit(1)))) - 1).cast("int"))
     first = middle.select("qid", "k", (F.col("x") + 1).alias("b"))
     second = middle.select("qid", "k", F.expr("y - shiftleft(1L, k)").alias("b"))
     across = first.unionByName(second).join(table, ["k", "b"]).select("qid", F.col("m").alias("e"))
