@@ -32,7 +32,7 @@ from .textops import column_bytes, mix64, slices, word_hashes
 
 BEGIN, END = np.uint64(0x8D5E9A3C17F4B260), np.uint64(0x3F0C6E81D2A975B4)
 #: Tokens a task counts before it sends the counts on; one row in so many shows which contexts are frequent.
-FLUSH, HOT_SAMPLE = 4_000_000, 64
+FLUSH, HOT_SAMPLE = 2_000_000, 64
 _PACKED = "target int, context binary, runs binary, word binary, n binary, info string"
 _FIELDS = ["target", "context", "runs", "word", "n", "info"]
 _KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
