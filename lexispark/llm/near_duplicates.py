@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, shuffle_partitions
 from .components import components
 from .textops import column_bytes, mix64, slices, word_hashes
 
@@ -93,27 +93,59 @@ def signatures(docs: DataFrame, k: int, chunks: int) -> DataFrame:
     return rows.mapInArrow(work, _SIGNED)
 
 
-def keys(classes: DataFrame, chunks: int) -> DataFrame:
-    """All index keys of each signature: chunk by chunk, each value left out in turn."""
+def _keys(signed: list[bytes], chunks: int) -> np.ndarray:
+    """All index keys of each signature, signatures x keys: chunk by chunk, each value left out in turn."""
+    values = np.frombuffer(b"".join(signed), np.uint16).astype(np.uint64).reshape(-1, chunks, ROWS)
+    found = np.empty((len(values), chunks * ROWS), np.uint64)
+    for chunk in range(chunks):
+        for left_out in range(ROWS):
+            key = np.zeros(len(values), np.uint64)
+            for j in range(ROWS):
+                if j != left_out:
+                    key = key << np.uint64(16) | values[:, chunk, j]
+            number = chunk * ROWS + left_out
+            found[:, number] = mix64(key + mix64(np.array([number + 1], np.uint64)))
+    return found
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def meetings(classes: DataFrame, chunks: int) -> DataFrame:
+    """rep and hub: each class with the smallest class it shares a key with, for every key.
+
+    Tasks send (key, class) pairs packed into one binary row for each bucket of keys; a bucket is sorted in numpy.
+    """
+    buckets = shuffle_partitions(classes.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                found = _keys(part.column("signature").to_pylist(), chunks)
+                rep = np.repeat(part.column("rep").to_numpy(), found.shape[1])
+                found = found.ravel()
+                to = ((found >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                to, found, rep = to[order], found[order], rep[order]
+                cuts = np.searchsorted(to, np.arange(buckets + 1))
+                own = np.flatnonzero(np.diff(cuts)).tolist()
+                rows = [(b, found[cuts[b] : cuts[b + 1]].tobytes(), rep[cuts[b] : cuts[b + 1]].tobytes()) for b in own]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["target", "keys", "reps"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, reps = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).astype(np.uint64).reshape(-1, chunks, ROWS)
-                found = []
-                for chunk in range(chunks):
-                    for left_out in range(ROWS):
-                        packed = np.full(len(values), chunk * ROWS + left_out, np.uint64)
-                        key = np.zeros(len(values), np.uint64)
-                        for j in range(ROWS):
-                            if j != left_out:
-                                key = key << np.uint64(16) | values[:, chunk, j]
-                        found.append(mix64(key + mix64(packed + np.uint64(1))))
-                rep = np.tile(part.column("rep").to_numpy(), chunks * ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(rep)], names=["key", "rep"])
-
-    return classes.select("rep", "signature").mapInArrow(work, "key long, rep long")
+            keys += [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
+            reps += [np.frombuffer(x, np.int64) for x in batch.column("reps").to_pylist()]
+        if keys:
+            key, rep = np.concatenate(keys), np.concatenate(reps)
+            order = np.lexsort((rep, key))
+            key, rep = key[order], rep[order]
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+            pairs = np.stack([rep, rep[first]], axis=1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["rep", "hub"])
+
+    sent = classes.select("rep", "signature").mapInArrow(send, "target int, keys binary, reps binary")
+    return sent.repartitionById(buckets, "target").mapInArrow(meet, "rep long, hub long")
 
 
 class _Forest:
@@ -190,8 +222,7 @@ def verified_links(families: DataFrame, docs: DataFrame, k: int, percent: int, t
     blocks = full.withColumn("blocks", F.ceil(F.col("size") / tile)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tiles = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "shingles")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(n, "family", "low", "high").sortWithinPartitions("family", "low", "high", "rep").mapInArrow(compare, "a long, b long")
+    return tiles.repartition(shuffle_partitions(docs.sparkSession), "family", "low", "high").sortWithinPartitions("family", "low", "high", "rep").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:
@@ -205,9 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunks: int
     reps = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     members = usable.join(reps, ["h1", "h2", "n"])
     classes = members.where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep", "signature"])
-    index = keys(classes, chunks)
-    hubs = index.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("top > hub").select("key", "hub")
-    met = index.join(hubs, "key").where("rep != hub").select("rep", "hub").distinct()
+    met = meetings(classes, chunks)
     family = components(met).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     sizes = family.groupBy("family").agg(F.count("*").alias("size"))
     families = settle(family.join(sizes, "family").select("rep", "family", "size"), "families")
