@@ -69,4 +69,4 @@ def imbalance(parts: DataFrame) -> DataFrame:
     """parts, most, least and percent by which the largest part exceeds the mean."""
     found = parts.agg(F.count("*").alias("parts"), F.max("rows").alias("most"), F.min("rows").alias("least"), F.sum("rows").alias("total"))
     mean = F.floor(F.col("total") / F.col("parts"))
-    return found.select("parts", "most", "least", ((F.col("most") - mean) * 100.0 / mean).alias("percent"))
+    return found.select("parts", "most", "least", F.try_divide((F.col("most") - mean) * 100.0, mean).alias("percent"))
