@@ -46,10 +46,10 @@ ENDS = {
 SIDE_TAGS = frozenset("nav footer aside form head menu dialog button label input fieldset search".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 SIDE_WORDS = frozenset(
-    "ad ads adbox adslot adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist "
+    "ad ads alert alerts adbox adslot adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist "
     "consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation "
     "newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply "
-    "responses search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "responses search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toc toolbar topbar tracking warning widget widgets".split()
 )
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -94,7 +94,8 @@ def _aside(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main") and not re.search("comment|reply", attributes.get("class", "") + attributes.get("id", "")):
         return False
-    return any(w.lower() in SIDE_WORDS for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+    marked = {w.lower() for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")} & SIDE_WORDS
+    return bool(marked - {"header"} if inside_article else marked)  # an article's own header holds its title
 
 
 def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], str, bool, int]]:
@@ -224,7 +225,7 @@ def main_text(page: str | None) -> str:
             if element[1] in HOLDERS:
                 held[element] = held.get(element, 0) + len(found[i][2])
     total = sum(len(found[i][2]) for i in content)
-    best = max((e for e, chars in held.items() if chars >= 0.6 * total), default=None)  # the deepest: numbers rise with depth
+    best = max((e for e, chars in held.items() if chars >= 0.75 * total), default=None)  # the deepest: numbers rise with depth
     if best:  # a part of an article stands for the article
         line = next(found[i][1] for i in content if best in found[i][1])
         best = next((e for e in reversed(line[: line.index(best) + 1]) if e[1] in ("article", "main")), best)

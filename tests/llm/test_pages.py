@@ -102,6 +102,8 @@ def test_odd_pages(odd_pages):
         ('<header>Site</header><main><h1>T</h1><p>Words, and more words.</p><div class="user-comments"><p>I agree, indeed, yes.</p></div></main><aside>x</aside>', "T\nWords, and more words."),
         ("<article><header><h1>T</h1></header><p>Text, text.</p><form><label>Mail</label></form></article>", "T\nText, text."),
         ("<body><div id='cookie-notice'>We use cookies, many of them.</div><div><p>First, a paragraph.</p><p>Second, a paragraph.</p></div></body>", "First, a paragraph.\nSecond, a paragraph."),
+        ("<article><div class='post-header'><h1>T</h1></div><p class='notice'>Log in, please.</p><p>Words, words.</p><section id='reader-comments'><p>So true, yes.</p></section></article>", "T\nWords, words."),
+        ("<body><div class='site-header'>Site, name.</div><table><tr><td>One, two, three words.<td>Four, five.</table></body>", "One, two, three words.\nFour, five."),
         ("<!-- <p>no</p> --><article><p>yes, this</article>", "yes, this"),
         ("<article><p>2 < 3, so it is</p></article>", "2 < 3, so it is"),
         ('<article><p title="a > b">quoted, fine</p></article>', "quoted, fine"),
