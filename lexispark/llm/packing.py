@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .textops import column_bytes, picked, word_spans
 
 #: Words and chunks of text whose ids a worker remembers.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
+#: Words kept in a dictionary before they join the sorted arrays.
+RECENT = 1 << 16
 _LOADED: dict[str, WordIds] = {}
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -159,7 +161,8 @@ class WordIds:
 
     def _forget(self) -> None:
         self.chunks: dict[str, bytes] = {"": b""}  # of texts for the whole tokenizer, and of punctuation
-        self.place: dict[int, int] = {}  # of a word's hash
+        self.recent: dict[int, int] = {}  # a word's hash and its number
+        self.names, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the same, sorted, of most words
         self.begin, self.count, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
 
@@ -209,13 +212,29 @@ class WordIds:
         self.flat[self.filled : self.filled + len(data)] = data
         self.begin[self.used : self.used + n] = self.filled + np.cumsum(count) - count
         self.count[self.used : self.used + n] = count
-        self.place.update(zip(hashes, range(self.used, self.used + n), strict=True))
+        self.recent.update(zip(hashes, range(self.used, self.used + n), strict=True))
         self.used += n
         self.filled += len(data)
+        if len(self.recent) > RECENT:
+            names = np.concatenate([self.names, np.fromiter(self.recent, np.uint64, len(self.recent))])
+            order = np.argsort(names)
+            self.names = names[order]
+            self.numbers = np.concatenate([self.numbers, np.fromiter(self.recent.values(), np.int64, len(self.recent))])[order]
+            self.recent = {}
+
+    def _numbers(self, names: np.ndarray) -> np.ndarray:
+        """Numbers of words by their hashes; -1 for new ones."""
+        out = np.full(len(names), -1, np.int64)
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            out = np.where(self.names[at] == names, self.numbers[at], -1)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = [self.recent.get(x, -1) for x in names[rest].tolist()]
+        return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Of each text its ids, as little-endian unsigned 32-bit numbers; null is empty."""
-        if len(self.place) + len(self.chunks) > REMEMBERED:
+        if self.used + len(self.chunks) > REMEMBERED:
             self._forget()
         buf, offsets = column_bytes(texts)
         h, start, end, rows = word_spans(buf, offsets)
@@ -228,17 +247,14 @@ class WordIds:
             rows = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(texts)))])
             h, start, end = h[keep], start[keep], end[keep]
         names, first, which = np.unique(h, return_index=True, return_inverse=True)
-        names = names.tolist()
-        at = list(map(self.place.get, names))
-        if None in at:
-            new = [i for i, x in enumerate(at) if x is None]
+        at = self._numbers(names)
+        new = np.flatnonzero(at < 0)
+        if len(new):
             raw = buf.tobytes()
             words = [raw[a:z].decode().lower() for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            fresh = [names[i] for i in new]
-            self._remember(fresh, self._words(words))
-            for i, x in zip(new, map(self.place.__getitem__, fresh), strict=True):
-                at[i] = x
-        at = np.array(at, np.int64)[which] if len(names) else np.zeros(0, np.int64)
+            at[new] = np.arange(self.used, self.used + len(new))
+            self._remember(names[new].tolist(), self._words(words))
+        at = at[which] if len(names) else np.zeros(0, np.int64)
         count = self.count[at]
         has = count > 0
         ids = picked(self.flat, self.begin[at[has]], count[has])
