@@ -14,7 +14,7 @@ from lexispark.llm import decontaminate, language, near_duplicates, packing, rep
 from lexispark.session import settle, table
 
 #: Regression score under which no language is taken to fit a text.
-LEAST_LANGUAGE_SCORE = 0.25
+LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import column_bytes, mix64, slices, word_hashes
+from .textops import arrow, column_bytes, mix64, slices, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.6, 0.6
@@ -158,13 +158,13 @@ def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
                 term, tf = np.unique(h[offsets[i] : offsets[i + 1]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(term), pa.int64()), pa.array(term.view(np.int64)), pa.array(tf, pa.int64())], names=["item_id", "term", "tf"])
 
-    postings = items.mapInArrow(counted, "item_id long, term long, tf long")
+    postings = items.transform(arrow(counted, "item_id long, term long, tf long"))
     total = postings.groupBy().agg(F.sum("tf").alias("words"), F.countDistinct("item_id").alias("items")).first()
     n_items, rounds = total["items"], -(-total["items"] // ROUND)
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     for r in range(rounds):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r)
-        used = part.mapInArrow(counted, "item_id long, term long, tf long").select("term").distinct()
+        used = part.transform(arrow(counted, "item_id long, term long, tf long")).select("term").distinct()
         df = {x["term"] & (1 << 64) - 1: x["df"] for x in used.join(frequency, "term").collect()}
         table = part.orderBy("item_id", "text").toArrow()
         h, offsets = words(table.column("text"))
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     kinds = [pa.int64()] * 2 + [pa.float64()] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in HITS.split(", ")])
 
-        results.append(rows.mapInArrow(work, HITS))
+        results.append(rows.transform(arrow(work, HITS)))
     if not results:
         return spark.createDataFrame([], HITS)
     union = results[0]
@@ -220,5 +220,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {row for row, *_ in _judge(shared.value, batch.column(at))}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(work, T.StructType(docs.schema.fields))
+        docs = docs.transform(arrow(work, T.StructType(docs.schema.fields)))
     return docs

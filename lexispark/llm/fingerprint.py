@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
+from .textops import arrow
 
 #: Bytes of the rolling hash, chunks of a signature at most, signature characters in a row that alike texts share.
 WINDOW, MOST_CHUNKS, RUN = 7, 64, 5
@@ -146,4 +147,4 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     to = spark.createDataFrame(follow, "first_id long, dest int")
     extra = rows.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.col("dest").alias("pid"), F.lit(True).alias("extra"), "doc_id", "text")
     dealt = placed.select("pid", F.lit(False).alias("extra"), "doc_id", "text").unionByName(extra).repartitionById(last + 1, "pid")
-    return dealt.sortWithinPartitions("pid", "extra", F.desc_nulls_last("doc_id"), "text").mapInArrow(_chain, _RESULT)
+    return dealt.sortWithinPartitions("pid", "extra", F.desc_nulls_last("doc_id"), "text").transform(arrow(_chain, _RESULT))

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textops import arrow
+
 GRAMS, ORDERS = 1 << 15, (1, 2, 3)
 #: Rows learned from at most, and landmarks among them.
 SAMPLE, LANDMARKS, RIDGE = 2048, 192, 0.1
@@ -125,7 +127,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 out.append(np.packbits(row).tobytes() if presence(text.as_py(), row) else None)
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array(out, pa.binary())], names=["place", "lang", "bits"])
 
-    found = drawn.select("place", "lang", "text").mapInArrow(bits, "place double, lang string, bits binary").where("bits IS NOT NULL").orderBy("place", "lang", "bits").limit(2 * sample).collect()
+    found = drawn.select("place", "lang", "text").transform(arrow(bits, "place double, lang string, bits binary")).where("bits IS NOT NULL").orderBy("place", "lang", "bits").limit(2 * sample).collect()
     kept, seen = [], {}
     for r in found:
         if seen.setdefault(r["lang"], 0) < each:
@@ -146,7 +148,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(work, T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rest.transform(arrow(work, T.StructType([*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])))
 
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -159,4 +161,4 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
             names, scores = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(work, T.StructType(docs.schema.fields))
+    return docs.transform(arrow(work, T.StructType(docs.schema.fields)))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle, shuffle_partitions
 from .components import components
-from .textops import column_bytes, mix64, slices, word_hashes
+from .textops import arrow, column_bytes, mix64, slices, word_hashes
 
 ROWS, MISSED, TILE = 5, 1e-7, 512
 #: Families up to this number of classes are sent to all workers instead of shuffling the texts.
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, k: int, chunks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(signed, pa.binary())], names=[f.split()[0] for f in _SIGNED.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, _SIGNED)
+    return rows.transform(arrow(work, _SIGNED))
 
 
 def _keys(signed: list[bytes], chunks: int) -> np.ndarray:
@@ -144,8 +144,8 @@ def meetings(classes: DataFrame, chunks: int) -> DataFrame:
             pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["rep", "hub"])
 
-    sent = classes.select("rep", "signature").mapInArrow(send, "target int, keys binary, reps binary")
-    return sent.repartitionById(buckets, "target").mapInArrow(meet, "rep long, hub long")
+    sent = classes.select("rep", "signature").transform(arrow(send, "target int, keys binary, reps binary"))
+    return sent.repartitionById(buckets, "target").transform(arrow(meet, "rep long, hub long"))
 
 
 class _Forest:
@@ -218,11 +218,11 @@ def verified_links(families: DataFrame, docs: DataFrame, k: int, percent: int, t
     few = families.count() <= BROADCAST_ROWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = rows.join(F.broadcast(families) if few else families, F.col("doc_id") == F.col("rep")).select("family", "size", "doc_id", "text")
-    full = held.mapInArrow(sets, "family long, size long, rep long, shingles binary").where(F.length("shingles") > 0)
+    full = held.transform(arrow(sets, "family long, size long, rep long, shingles binary")).where(F.length("shingles") > 0)
     blocks = full.withColumn("blocks", F.ceil(F.col("size") / tile)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tiles = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "shingles")
-    return tiles.repartition(shuffle_partitions(docs.sparkSession), "family", "low", "high").sortWithinPartitions("family", "low", "high", "rep").mapInArrow(compare, "a long, b long")
+    return tiles.repartition(shuffle_partitions(docs.sparkSession), "family", "low", "high").sortWithinPartitions("family", "low", "high", "rep").transform(arrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch, shuffle_partitions
 from .files import listed, mapped, put
-from .textops import column_bytes, mix64, slices, word_hashes
+from .textops import arrow, column_bytes, mix64, slices, word_hashes
 
 BEGIN, END = np.uint64(0x8D5E9A3C17F4B260), np.uint64(0x3F0C6E81D2A975B4)
 #: Tokens a task counts before it sends the counts on; one row in so many shows which contexts are frequent.
@@ -271,13 +271,13 @@ def learn(texts: DataFrame, folder: str | None = None, buckets: int | None = Non
                 yield pa.RecordBatch.from_arrays([pa.array(names[use].view(np.int64)), pa.array(n[use], pa.int64())], names=["context", "n"])
 
     sampled = rows.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0)
-    seen = sampled.mapInArrow(frequent, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "context").limit(4 * buckets).collect()
+    seen = sampled.transform(arrow(frequent, "context long, n long")).groupBy("context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "context").limit(4 * buckets).collect()
     limit = sum(r["n"] for r in seen) / (4 * buckets)
     hot = np.array([r["context"] & (1 << 64) - 1 for r in seen if r["n"] >= limit], np.uint64)
 
-    counted = rows.mapInArrow(_count(hot, buckets), _PACKED).repartitionById(buckets, "target").sortWithinPartitions("target")
-    sent = counted.mapInArrow(_pairs(folder, hot, buckets), _PACKED).repartitionById(buckets, "target").sortWithinPartitions("target")
-    infos = [json.loads(r["info"]) for r in sent.mapInArrow(_continuations(folder), "info string").collect()]
+    counted = rows.transform(arrow(_count(hot, buckets), _PACKED)).repartitionById(buckets, "target").sortWithinPartitions("target")
+    sent = counted.transform(arrow(_pairs(folder, hot, buckets), _PACKED)).repartitionById(buckets, "target").sortWithinPartitions("target")
+    infos = [json.loads(r["info"]) for r in sent.transform(arrow(_continuations(folder), "info string")).collect()]
     pairs, words = [i for i in infos if "pairs" in i], [i for i in infos if "k_total" in i]
     together = {int(c): [0] * 4 for c in hot.tolist()}
     for info in pairs:
@@ -323,4 +323,4 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(work, SCORED)
+    return rows.transform(arrow(work, SCORED))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import column_bytes, picked, word_spans
+from .textops import arrow, column_bytes, picked, word_spans
 
 #: Words and chunks of text whose ids a worker remembers.
 REMEMBERED = 1 << 20
@@ -313,4 +313,4 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096
         yield rows(found + power_windows(items, capacity))
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(work, PACKED)
+    return rows_in.transform(arrow(work, PACKED))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..session import scratch, shuffle_partitions
 from .files import listed, mapped, put
 from .induced import sorted_suffixes
-from .textops import BLOCK, column_bytes, mix64, picked, powers
+from .textops import BLOCK, arrow, column_bytes, mix64, picked, powers
 
 GRAM = 50
 #: Runs and bytes a task gathers before it sends them on; bytes sorted at once; occurrences from which a class is split, and the starts of a part.
@@ -422,9 +422,9 @@ def find_repeats(docs: DataFrame, length: int = 200, folder: str | None = None,
     folder, buckets = folder or scratch(spark, "repeats"), buckets or shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     dealt = lambda df: df.repartitionById(buckets, "target").sortWithinPartitions("target", "kind")
-    dealt(rows.select("text").mapInArrow(_count(length, buckets), _PACKED)).mapInArrow(_classes(folder), "bucket int, n long").collect()
-    gathered = dealt(rows.mapInArrow(_gather(folder, listed(folder), length, buckets), _PACKED))
-    dealt(gathered.mapInArrow(_sort(length, buckets), _PACKED)).mapInArrow(_keep(folder), "bucket int, n long").collect()
+    dealt(rows.select("text").transform(arrow(_count(length, buckets), _PACKED))).transform(arrow(_classes(folder), "bucket int, n long")).collect()
+    gathered = dealt(rows.transform(arrow(_gather(folder, listed(folder), length, buckets), _PACKED)))
+    dealt(gathered.transform(arrow(_sort(length, buckets), _PACKED))).transform(arrow(_keep(folder), "bucket int, n long")).collect()
     return Spans(folder, buckets, {x for x in listed(folder) if x.startswith("span-")})
 
 
@@ -452,7 +452,7 @@ def summary(docs: DataFrame, spans: Spans) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[f.split()[0] for f in SUMMARY.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(work, SUMMARY)
+    return rows.transform(arrow(work, SUMMARY))
 
 
 def whole_characters(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -486,4 +486,4 @@ def without_repeats(docs: DataFrame, spans: Spans) -> DataFrame:
                 columns[count] = pa.array([len(t) for t in out]).cast(batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(work, T.StructType(docs.schema.fields))
+    return docs.transform(arrow(work, T.StructType(docs.schema.fields)))

@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..arrow_text import column_bytes, picked
+
+__all__ = ["BLOCK", "arrow", "column_bytes", "mix64", "picked", "powers", "slices", "word_hashes", "word_spans"]
 
 #: Bytes handled at once; bounds the temporary arrays, whatever the length of a text.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _MULTIPLIER = 0x5851F42D4C957F2D
 _POWERS: dict[str, np.ndarray] = {}
 
 
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held several times.
+BATCH_ROWS = 2000
+_DEFAULT_ROWS = "10000"
+
+
+def arrow(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: mapInArrow with small batches, whose workers give free memory back after each task."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    def apply(df: DataFrame) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if df.sparkSession.conf.get(key) == _DEFAULT_ROWS:
+            df.sparkSession.conf.set(key, BATCH_ROWS)
+        return df.mapInArrow(lean, schema)
+
+    return apply
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply) over an array, into a new array."""
     x = x ^ (x >> np.uint64(30))
@@ -31,23 +64,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    n = len(column)
-    if not n:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    kind = np.int64 if wide else np.int32
-    at = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[at[0] : at[-1]], at - at[0]
-
-
 def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one block; cuts are offsets at which a row begins."""
     gap = (buf == 0x20) | ((buf >= 0x09) & (buf <= 0x0D))
@@ -108,18 +124,6 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, rows
 
 
-def picked(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The stretches of data, none of them empty, one after the other."""
-    if not len(size):
-        return data[:0]
-    step = np.ones(int(size.sum()), np.int64)
-    at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    step[at] = begin - np.concatenate([[0], (begin + size - 1)[:-1]])
-    return data[np.cumsum(step)]
-
-
-
-
 def slices(offsets: np.ndarray, limit: int = 4 * BLOCK):
     """Row ranges [a, b) of at most limit bytes each, one row at least."""
     a, n = 0, len(offsets) - 1

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import column_bytes
+from .textops import arrow, column_bytes
 
 SPACE = "▁"
 #: Pre-tokens remembered by a worker, symbols up to which a sequence is not cut, and above which it is merged on its own.
@@ -185,4 +185,4 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, group: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), tokens, pa.compute.greater(tokens, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.transform(arrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 from .files import open_folder
+from .textops import arrow
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,7 +143,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = 256 << 20, min_rev
     placed = whole.unionByName(notes).select(F.when(F.col("page_id").isNull(), 0).otherwise(shard_of(F.coalesce("page_id", F.lit(0)))).alias("shard"), "*")
     filesystem, path = open_folder(folder)
     filesystem.create_dir(f"{path}/_temporary", recursive=True)
-    placed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(*order).mapInArrow(work, MANIFEST).write.parquet(f"{folder}/_manifest")
+    placed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(*order).transform(arrow(work, MANIFEST)).write.parquet(f"{folder}/_manifest")
     filesystem.delete_dir(f"{path}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
@@ -201,4 +202,4 @@ def read_archives(spark: SparkSession, folder: str, group: int = 1000) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name")
-    return manifest.repartition(shuffle_partitions(spark)).mapInArrow(work, RECORDS)
+    return manifest.repartition(shuffle_partitions(spark)).transform(arrow(work, RECORDS))

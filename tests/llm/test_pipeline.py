@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark, sf_dir, documents):
         if name == "language_id":
             model = language.fit(documents.where(language.remainder("doc_id", 4) != 2))
             names, scores = model.predict([r["text"] for r in before])
-            assert ids == {r["doc_id"] for r, n, s in zip(before, names, scores, strict=True) if n != "und" and s >= 0.25}
+            assert ids == {r["doc_id"] for r, n, s in zip(before, names, scores, strict=True) if n != "und" and s >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
             assert len(ids) > 0.97 * len(before)
         elif name == "near_dedup":
             kept = near_brute([(r["doc_id"], r["text"]) for r in before], 5, 80)
