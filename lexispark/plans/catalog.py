@@ -424,9 +424,6 @@ def qmer_lookup(spark, sf):
 
 # top-level indexes
 
-SAMPLED = f"""{PART_LCP}, n AS (SELECT count(*) AS n FROM l), u AS (SELECT rank AS i, lcp FROM l)"""
-
-
 @query(f"""WITH {NATION_SA}, n AS (SELECT count(*) AS n FROM l), z AS (SELECT a.rank AS idx, a.lcp, coalesce((SELECT max(b.rank) FROM l b WHERE b.rank < a.rank AND b.lcp < a.lcp), 0) AS a, coalesce((SELECT min(b.rank) FROM l b WHERE b.rank > a.rank AND b.lcp < a.lcp), (SELECT n FROM n)) AS z FROM l a)
     SELECT idx, lcp FROM z WHERE lcp = 0 OR z - a > 20""")
 def sample_lcp(spark, sf):

@@ -128,7 +128,7 @@ def test_native_arrays(spark, tmp_path):
     with pytest.raises(Exception, match="no multiple"):
         store.read_native(spark, f"file://{tmp_path}/raw", width=8).collect()
     store.decimal_dump(values, f"file://{tmp_path}/dump")
-    assert [int(x["value"]) for x in spark.read.text(f"file://{tmp_path}/dump").collect() if True] and spark.read.text(f"file://{tmp_path}/dump").count() == 100
+    assert sorted(int(x["value"]) for x in spark.read.text(f"file://{tmp_path}/dump").collect()) == [i * 3 for i in range(100)]
 
 
 def test_streamed_patterns(spark, tmp_path):
