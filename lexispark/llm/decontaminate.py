@@ -5,8 +5,10 @@ words of the item, as often". Passages are windows of twice the longest item's w
 contiguous copy of an item lies inside one. Passages are evaluated in batches by block-max WAND: the sum of a
 passage's list maxima must reach the threshold, then, for each block of items, the sum of its block maxima; only items
 of blocks that pass are scored. All items above the threshold are retrieved, none is cut off. A retrieved pair is
-verified on the words themselves: of the three-word sequences of the item's question and of its answer (its last
-quarter of words, where the benchmark has one text column) the given shares must occur in the passage.
+verified on the words themselves: of the three-word sequences of the whole item the share WHOLE must occur in the
+passage, whichever they are, so that truncated and edited copies count; or, above THRESHOLD, the given shares of those
+of the item's question and of its answer (its last quarter of words, as the benchmark has one text column). Each item's
+threshold is lowered to a score that no passage with the share WHOLE of its sequences falls short of.
 
 Indexes are built for SHARD items at a time and sent to the workers in rounds of ROUND items, so that what is
 broadcast has a fixed bound; a larger benchmark takes more rounds over the documents. Document frequencies are counted
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from .textops import arrow, column_bytes, mix64, slices, word_hashes
 
 K1, B = 1.2, 0.75
-THRESHOLD, QUESTION, ANSWER = 0.6, 0.6, 0.6
+THRESHOLD, QUESTION, ANSWER, WHOLE = 0.6, 0.6, 0.6, 0.6
 BLOCK, SHARD, ROUND = 8, 512, 8192
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[i for i in range(33, 128) if not chr(i).isalnum()]] = 32
@@ -61,6 +63,22 @@ class Index:
     longest: int
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    whole: list[np.ndarray]
+    least: np.ndarray  # score that a passage to be verified has at least, for each item
+
+
+def least_score(h: np.ndarray, at: np.ndarray, weight: np.ndarray) -> float:
+    """At most THRESHOLD, and at most the score of any passage with the share WHOLE of an item's sequences.
+
+    at: place of each word's impact in weight. A word that a passage lacks takes all its sequences with it, so its
+    impact, spread over them, is within the sum of the missing sequences' shares.
+    """
+    n = min(3, len(h))
+    names, sequence = np.unique(sequences(h), return_inverse=True)
+    pairs = np.unique(np.concatenate([sequence * len(weight) + at[i : len(h) - n + 1 + i] for i in range(n)]))
+    sequence, term = pairs // len(weight), pairs % len(weight)
+    share = np.sort(np.bincount(sequence, (weight / np.bincount(term, minlength=len(weight)))[term]))
+    return min(THRESHOLD, 1 - float(share[int(np.ceil(WHOLE * len(names) - 1e-9)) :].sum()))
 
 
 def build(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], n_items: int, mean: float) -> Index | None:
@@ -71,21 +89,25 @@ def build(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], n_item
     terms = np.unique(np.concatenate([h for _, h in items]))
     df = np.array([frequency[t] for t in terms.tolist()], float)
     idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
-    impact = np.zeros((len(terms), len(items)), np.float32)
+    impact, least = np.zeros((len(terms), len(items)), np.float32), np.zeros(len(items))
     for j, (_, h) in enumerate(items):
-        at, tf = np.unique(np.searchsorted(terms, h), return_counts=True)
+        at, place, tf = np.unique(np.searchsorted(terms, h), return_inverse=True, return_counts=True)
         weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
         impact[at, j] = weight / weight.sum()
+        least[j] = least_score(h, place, weight / weight.sum())
     starts = np.arange(0, len(items), BLOCK)
     block = np.maximum.reduceat(impact, starts, axis=1)
     cut = [max(1, len(h) - max(3, len(h) // 4)) if len(h) > 3 else len(h) for _, h in items]
     question = [np.unique(sequences(h[:c])) for (_, h), c in zip(items, cut, strict=True)]
     answer = [np.unique(sequences(h[c:] if c < len(h) else h)) for (_, h), c in zip(items, cut, strict=True)]
-    return Index(np.array([i for i, _ in items]), terms, impact, block, block.max(axis=1), max(len(h) for _, h in items), question, answer)
+    whole = [np.unique(sequences(h)) for _, h in items]
+    return Index(np.array([i for i, _ in items]), terms, impact, block, block.max(axis=1), max(len(h) for _, h in items), question, answer, whole, least)
 
 
-def search(index: Index, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """(row, first word, words, item, score) of all pairs of a passage and an item above THRESHOLD."""
+def search(index: Index, h: np.ndarray, offsets: np.ndarray, least: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+    """(row, first word, words, item, score) of all pairs of a passage and an item above least, by default THRESHOLD."""
+    least = (np.full(len(index.items), THRESHOLD) if least is None else least) - 1e-5
+    least_of_block = np.minimum.reduceat(least, np.arange(0, len(least), BLOCK))
     at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
     hit = np.flatnonzero(index.terms[at] == h)
     if not len(hit):
@@ -100,7 +122,7 @@ def search(index: Index, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     terms = np.concatenate([at[hit], at[hit][step_no > 0]])
     entry = np.unique(windows * len(index.terms) + terms)
     windows, terms = entry // len(index.terms), entry % len(index.terms)
-    live = np.bincount(windows, index.most[terms], minlength=base[-1]) >= THRESHOLD - 1e-5
+    live = np.bincount(windows, index.most[terms], minlength=base[-1]) >= least.min()
     keep = live[windows]
     windows, terms = windows[keep], terms[keep]
     if not len(windows):
@@ -113,12 +135,12 @@ def search(index: Index, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
         some = some[:4096]
         bound = np.add.reduceat(index.block[terms[some[0] : end]], some - some[0], axis=0)
         sizes = np.diff(np.append(some, end))
-        for b in np.flatnonzero((bound >= THRESHOLD - 1e-5).any(axis=0)):
-            which = np.flatnonzero(bound[:, b] >= THRESHOLD - 1e-5)
+        for b in np.flatnonzero((bound >= least_of_block).any(axis=0)):
+            which = np.flatnonzero(bound[:, b] >= least_of_block[b])
             pick = np.concatenate([np.arange(some[w], some[w] + sizes[w]) for w in which])
             heads = np.concatenate([[0], np.cumsum(sizes[which])[:-1]])
             score = np.add.reduceat(index.impact[terms[pick], b * BLOCK : (b + 1) * BLOCK], heads, axis=0)
-            for w, j in zip(*np.nonzero(score >= THRESHOLD - 1e-5), strict=True):
+            for w, j in zip(*np.nonzero(score >= least[b * BLOCK : (b + 1) * BLOCK]), strict=True):
                 number = windows[some[which[w]]]
                 r = int(np.searchsorted(base, number, side="right") - 1)
                 start = int(number - base[r]) * step
@@ -129,10 +151,10 @@ def search(index: Index, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
 def matches(index: Index, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(row, item_id, score, question overlap, answer overlap): the best verified passage of each row and item."""
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for row, start, count, item, score in search(index, h, offsets):
+    for row, start, count, item, score in search(index, h, offsets, index.least):
         own = sequences_of_window(h[offsets[row] + start : offsets[row] + start + count])
-        q, a = (float(np.isin(part, own).mean()) for part in (index.question[item], index.answer[item]))
-        if q >= QUESTION and a >= ANSWER:
+        q, a, w = (float(np.isin(part, own).mean()) for part in (index.question[item], index.answer[item], index.whole[item]))
+        if w >= WHOLE or score >= THRESHOLD - 1e-5 and q >= QUESTION and a >= ANSWER:
             key = row, int(index.items[item])
             best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))
     return [(*k, *v) for k, v in sorted(best.items())]

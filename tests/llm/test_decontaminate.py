@@ -70,3 +70,26 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
     assert d.contaminated(empty, benchmark).count() == 0
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(odd, nothing).count() == 0 and d.clean(odd, nothing).count() == odd.count()
+
+
+def test_edited_and_truncated_copies_are_found(spark):
+    """A passage with 0.6 of an item's three-word sequences holds it, whichever part of the item is missing."""
+    r = random.Random(6)
+    fresh = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    common = [f"c{i}" for i in range(40)]
+    items = [[r.choice(common) if r.random() < 0.6 else w for w in fresh(r.randrange(12, 60))] for _ in range(40)]
+    docs, want = [], set()
+    for item, w in enumerate(items):
+        triples = lambda x: set(zip(x, x[1:], x[2:], strict=False))
+        copies = [w[: -len(w) // 5], w[: round(0.65 * len(w))], w[-round(0.65 * len(w)) :], w[: len(w) // 3]]
+        copies += [w[:p] + ["edited"] + w[p + 1 :] for p in range(len(w))]
+        copies += [["edited" if p in some else x for p, x in enumerate(w)] for some in (r.sample(range(len(w)), 3) for _ in range(20))]
+        for x in copies:
+            if len(triples(w) & triples(x)) >= 0.6 * len(triples(w)):
+                want.add((len(docs), item))
+            docs.append((len(docs), " ".join(fresh(30) + x + fresh(30))))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in d.contaminated(rows, benchmark).collect()}
+    assert len(want) > 1000 and found == want
+    assert {x["doc_id"] for x in d.clean(rows, benchmark).collect()} == {i for i, _ in docs} - {i for i, _ in found}
