@@ -2,9 +2,10 @@
 
 A page is read in one pass into text blocks, each with its root-to-leaf path of tags (with class names). For every
 path of a page the text length, punctuation and link text of its blocks are added up; their ratios to the number of
-blocks are smoothed along the page, fused into one score and held against the page's standard deviation. The element
-that holds nearly all of the selected paths' text is the content; its blocks are the result, but for elements that
-are marked as menus, notices, adverts, comments and the like by their tag, role or class.
+blocks are smoothed along the page, fused into one score and held against the page's standard deviation. The deepest
+element that holds all blocks of the selected paths is the content. Its blocks are the result, and those beside it that
+aren't mostly links, as headings and leads stand there; but for elements that are marked as menus, notices, adverts,
+comments and the like by their tag, role or class.
 
 Defined results: a null, empty or textless page gives the empty string. White space inside a block becomes one space
 (a <br> counts as white space), blocks are joined by one line feed, nothing is cut. Every input row gives one row.
@@ -221,17 +222,12 @@ def main_text(page: str | None) -> str:
     usable = [i for i in usable if any(tag in ("article", "main") for _, tag in found[i][1])] or usable
     score = path_scores(found)[usable]
     content = [i for i, s in zip(usable, score, strict=True) if s >= min(score.std(), score.max() * 0.5)]
-    held: dict[tuple[int, str], int] = {}
-    for i in content:
-        for element in found[i][1]:
-            if element[1] in HOLDERS:
-                held[element] = held.get(element, 0) + len(found[i][2])
-    total = sum(len(found[i][2]) for i in content)
-    best = max((e for e, chars in held.items() if chars >= 0.75 * total), default=None)  # the deepest: numbers rise with depth
+    shared = set.intersection(*({e for e in found[i][1] if e[1] in HOLDERS} for i in content))
+    best = max(shared, default=None)  # the deepest: numbers rise with depth
     if best:  # a part of an article stands for the article
         line = next(found[i][1] for i in content if best in found[i][1])
         best = next((e for e in reversed(line[: line.index(best) + 1]) if e[1] in ("article", "main")), best)
-    return "\n".join(found[i][2] for i in usable if best is None or best in found[i][1])
+    return "\n".join(found[i][2] for i in usable if best is None or best in found[i][1] or 2 * found[i][4] < len(found[i][2]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

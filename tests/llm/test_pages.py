@@ -114,6 +114,25 @@ def test_small_pages(page, text):
     assert main_text.main_text(page) == text
 
 
+LONG = "A sentence, with some words, and more of them. " * 8
+
+
+@pytest.mark.parametrize(
+    "page,lines",
+    [
+        (f"<body><div><p>{LONG}a<p>{LONG}b</div><div><p>{LONG[:94]}c</div></body>", "abc"),
+        (f"<body><h1>Heading h</h1><div><p>{LONG}a<p>{LONG}b</div></body>", "hab"),
+        (f"<body><div><h1>Heading h</h1><p>Lead, short l</p><div><p>{LONG}a<p>{LONG}b</div></div></body>", "hlab"),
+        (f"<body><div><p>{LONG[:94]}a</p><blockquote><p>{LONG}b<p>{LONG}c</blockquote><p>{LONG[:94]}d</p></div></body>", "abcd"),
+        (f"<main><article><p>{LONG}a</article><article><p>{LONG[:94]}b</article></main>", "ab"),
+        (f"<body><div><a href=x>Link one</a> <a href=y>Link two</a></div><div><p>{LONG}a<p>{LONG}b <a href=z>z</a> c</div></body>", "ac"),
+    ],
+)
+def test_articles_in_several_elements(page, lines):
+    """Each line by its last letter."""
+    assert "".join(x[-1] for x in main_text.main_text(page).split("\n")) == lines
+
+
 def test_linear_on_hostile_pages():
     began = time.time()
     for page in ("<a b='" * 50_000, "<div>" * 50_000, "<!--" * 50_000, "<" * 50_000, "<p>" * 50_000, "<script>" * 20_000):
