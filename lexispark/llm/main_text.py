@@ -57,31 +57,28 @@ SIDE_WORDS = frozenset(
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_VALUE = re.compile(r""">|=\s*["']""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
-def _tag_end(page: str, i: int) -> int:
-    """Index of the '>' that ends the tag at i; a '>' in quotes doesn't. -1: none."""
-    end = page.find(">", i)
-    first = end
-    for _ in range(32):
-        if end < 0:
-            return first
-        inside = page[i:end]
-        if "=" not in inside or not _open_quote(inside):
-            return end
-        end = page.find(">", end + 1)
-    return first
-
+def _tag_end(page: str, i: int, unclosed: set[int]) -> int:
+    """Index of the '>' that ends the tag at i; a '>' in a quoted value doesn't. -1: none.
 
-def _open_quote(tag: str) -> bool:
-    quote = ""
-    for m in re.finditer(r"""=\s*(["'])|["']""", tag):
-        if quote:
-            quote = "" if m[0][-1] == quote else quote
-        elif m[1]:
-            quote = m[1]
-    return bool(quote)
+    Without an end, the first '>' counts. unclosed: starts of values from which a page has no end, so that no later
+    tag reads on from there.
+    """
+    first, at, seen = page.find(">", i), i, []
+    while first >= 0 and (m := _VALUE.search(page, at)):
+        if m[0] == ">":
+            return m.start()
+        if m.end() in unclosed:
+            break
+        seen.append(m.end())
+        at = page.find(m[0][-1], m.end()) + 1
+        if not at:
+            break
+    unclosed.update(seen)
+    return first
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -101,24 +98,38 @@ def _aside(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     return bool(marked - {"header"} if inside_article else marked)  # an article's own header holds its title
 
 
-def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], str, bool, int]]:
-    """In page order: path, ancestors (number and tag), text, whether marked as aside, characters in links."""
-    found, stack, pieces, link = [], [], [], 0  # stack: tag, number, aside, path
-    number, i, n = 0, 0, len(page)
+def blocks(page: str) -> tuple[list[tuple[int, int, str, bool, int]], list[tuple[int, str]]]:
+    """In page order: path, innermost element, text, whether marked as aside, characters in links; and of each element
+    its parent and tag, element 0 being the page."""
+    found, stack, pieces, link = [], [], [], 0  # stack: tag, element, aside, path
+    elements, paths = [(0, "")], {}
+    where: dict[str, list[int]] = {"": []}  # places in the stack by tag, and of all of BLOCK
+    unclosed: set[int] = set()
+    i, n = 0, len(page)
+
+    def last(*tags: str) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
 
     def flush() -> None:
         nonlocal link
         if pieces:
             if text := " ".join(entities.unescape("".join(pieces)).split()):
-                path, aside = (stack[-1][3], stack[-1][2]) if stack else ("", False)
-                found.append((path, tuple((s[1], s[0]) for s in stack), text, aside, min(link, len(text))))
+                _, element, aside, path = stack[-1] if stack else ("", 0, False, 0)
+                found.append((path, element, text, aside, min(link, len(text))))
             pieces.clear()
         link = 0
 
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            where[tag].pop()
+            if tag in BLOCK:
+                where[""].pop()
+
     def pop(to: int) -> None:
-        if any(s[0] in BLOCK for s in stack[to:]):
+        if last("") >= to:
             flush()
-        del stack[to:]
+        cut(to)
 
     while i < n:
         at = page.find("<", i)
@@ -126,7 +137,7 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], str, bool,
             at = n
         if at > i:
             pieces.append(page[i:at])
-            if any(s[0] == "a" for s in stack):
+            if where.get("a"):
                 link += at - i
         if at >= n:
             break
@@ -143,15 +154,12 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], str, bool,
             i = n if end < 0 else end + 1
             if name:
                 tag = name[0].lower()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        pop(k)
-                        break
-                    if stack[k][0] in ("article", "main", "table") and tag not in BLOCK:
-                        break
+                k = last(tag)
+                if k >= 0 and (tag in BLOCK or k >= last("article", "main", "table")):
+                    pop(k)
         elif name := _NAME.match(page, i + 1):
             tag = name[0].lower()
-            end = _tag_end(page, i)
+            end = _tag_end(page, i, unclosed)
             if end < 0:
                 break
             raw = page[name.end() : end]
@@ -165,42 +173,36 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], str, bool,
                 continue
             if tag in BLOCK:
                 flush()
-                if stack:  # an open paragraph ends here
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                            break
-                        if stack[k][0] in BLOCK:
-                            break
+                if last("p") >= max(0, last("")):  # an open paragraph ends here
+                    cut(last("p"))
                 if tag in ENDS:
                     ended, within = ENDS[tag]
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in within:
+                    while (k := last(*ended)) > last(*within):
+                        cut(k)
+                        if tag not in ("tr", "tbody", "tfoot"):
                             break
-                        if stack[k][0] in ended:
-                            del stack[k:]
-                            if tag not in ("tr", "tbody", "tfoot"):
-                                break
             if tag in VOID:
                 pieces.append(" ")
                 continue
             attributes = _attributes(raw)
-            number += 1
-            inside = any(s[0] in ("article", "main") for s in stack)
-            aside = bool(stack) and stack[-1][2] or _aside(tag, attributes, inside)
-            path = f"{stack[-1][3] if stack else ''}/{tag}" + (f".{attributes['class']}" if attributes.get("class") and tag in BLOCK else "")
-            if len(stack) < 512:  # deeper elements count as their ancestor
-                stack.append((tag, number, aside, path if tag in BLOCK else stack[-1][3] if stack else ""))
+            above = stack[-1] if stack else ("", 0, False, 0)
+            aside = above[2] or _aside(tag, attributes, bool(where.get("article") or where.get("main")))
+            path = paths.setdefault((above[3], tag, attributes.get("class", "")), len(paths) + 1) if tag in BLOCK else above[3]
+            where.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                where[""].append(len(stack))
+            stack.append((tag, len(elements), aside, path))
+            elements.append((above[1], tag))
         else:
             pieces.append("<")
             i += 1
     flush()
-    return found
+    return found, elements
 
 
 def path_scores(found: list) -> np.ndarray:
     """Of each block, the fused and smoothed tag-path ratio of its path."""
-    names: dict[str, int] = {}
+    names: dict[int, int] = {}
     path = np.array([names.setdefault(b[0], len(names)) for b in found])
     length = np.array([len(b[2]) for b in found], float)
     count = np.bincount(path)
@@ -215,19 +217,30 @@ def path_scores(found: list) -> np.ndarray:
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line feeds."""
-    found = blocks(page or "")
+    found, elements = blocks(page or "")
     usable = [i for i, b in enumerate(found) if not b[3]]
     if not usable:
         return ""
-    usable = [i for i in usable if any(tag in ("article", "main") for _, tag in found[i][1])] or usable
+    article = [False] * len(elements)  # an element's number is above its parent's
+    for e, (above, tag) in enumerate(elements):
+        article[e] = article[above] or tag in ("article", "main")
+    usable = [i for i in usable if article[found[i][1]]] or usable
     score = path_scores(found)[usable]
     content = [i for i, s in zip(usable, score, strict=True) if s >= min(score.std(), score.max() * 0.5)]
-    shared = set.intersection(*({e for e in found[i][1] if e[1] in HOLDERS} for i in content))
-    best = max(shared, default=None)  # the deepest: numbers rise with depth
-    if best:  # a part of an article stands for the article
-        line = next(found[i][1] for i in content if best in found[i][1])
-        best = next((e for e in reversed(line[: line.index(best) + 1]) if e[1] in ("article", "main")), best)
-    return "\n".join(found[i][2] for i in usable if best is None or best in found[i][1] or 2 * found[i][4] < len(found[i][2]))
+    held = [0] * len(elements)
+    for i in content:
+        held[found[i][1]] += 1
+    for e in range(len(elements) - 1, 0, -1):
+        held[elements[e][0]] += held[e]
+    best = max((e for e, (_, tag) in enumerate(elements) if held[e] == len(content) and tag in HOLDERS), default=0)
+    part = best  # a part of an article stands for the article
+    while part and elements[part][1] not in ("article", "main"):
+        part = elements[part][0]
+    best = part or best
+    inside = [False] * len(elements)
+    for e, (above, _) in enumerate(elements):
+        inside[e] = e == best or inside[above]
+    return "\n".join(found[i][2] for i in usable if inside[found[i][1]] or 2 * found[i][4] < len(found[i][2]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -140,6 +140,21 @@ def test_linear_on_hostile_pages():
     assert time.time() - began < 20
 
 
+def test_long_attributes_and_deep_pages_stay_whole():
+    quoted = "<i>x</i> > " * 500
+    assert main_text.main_text(f"<article><p title='{quoted}' data-y=\"{quoted}\">Words, words.</p></article>") == "Words, words."
+    deep = "<div>" * 600
+    page = f"<body><article><p>{LONG}a</p>{deep}<nav><p>Menu, menu.</p></nav><div class='comments'><p>So true, yes.</p></div><p>{LONG}b</p>{'</div>' * 600}<p>{LONG}c</p></article><p>Outside, not this.</p></body>"
+    assert [x[-1] for x in main_text.main_text(page).split("\n")] == ["a", "b", "c"]
+
+
+def test_linear_on_hostile_tags():
+    began = time.time()
+    for page in ("<a b=\">=\"" * 20_000, "<div>a" * 20_000, "<div>" * 20_000 + "a</span>" * 20_000, "<span><article>" + "<div>" * 10_000 + "a</span>" * 10_000, "<b>" * 20_000 + "a<hr>" * 20_000, "<li><b>a" * 20_000, "<a>" * 20_000 + "a<i>" * 20_000):
+        main_text.main_text(page)
+    assert time.time() - began < 20
+
+
 def test_array_files(tmp_path):
     import numpy as np
 
