@@ -43,3 +43,14 @@ def test_odd_and_empty_tables(spark, sf_dir, odd, empty):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, sf_dir).columns == docs.columns, name
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+
+
+def test_short_texts_of_a_right_language_stay(spark, documents):
+    """Two words of a document whose language the model tells rightly are no reject."""
+    model = language.fit(documents.where(language.remainder("doc_id", 4) != 2))
+    words = [(r["lang"], (r["text"] or "").split()[:40]) for r in documents.collect()]
+    texts = [(lang, " ".join(w[i : i + 2])) for lang, w in words for i in range(0, len(w), 2)]
+    names, _ = model.predict([t for _, t in texts])
+    right = sorted(t for (lang, t), name in zip(texts, names, strict=True) if lang == name)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(right)], "doc_id long, text string")
+    assert len(right) > 1000 and language.keep(rows, model, corpus_pipeline.LEAST_LANGUAGE_SCORE).count() == len(right)
