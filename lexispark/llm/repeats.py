@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..session import scratch, shuffle_partitions
 from .files import listed, mapped, put
 from .induced import sorted_suffixes
-from .textops import BLOCK, arrow, column_bytes, mix64, picked, powers
+from .textops import BLOCK, arrow, column_bytes, mix64, picked, powers, span_hashes
 
 GRAM = 50
 #: Runs and bytes a task gathers before it sends them on; bytes sorted at once; occurrences from which a class is split, and the starts of a part.
@@ -128,10 +128,9 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) ->
         lo = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | differs]))
         hi = np.flatnonzero(inside & np.concatenate([~inside[1:] | differs, [True]]))
 
-        def stretch(a: np.ndarray, z: np.ndarray, sums=sums, down=down, base=base) -> np.ndarray:
+        def stretch(a: np.ndarray, z: np.ndarray, part=part, base=base) -> np.ndarray:
             """Hashes of bytes [a, z)."""
-            a, z = a - base, z - base
-            return mix64((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            return span_hashes(part, a - base, z - a)
 
         # anchors are minima, so their hashes are small: mixed again, they spread over the buckets
         yield Runs(lo + base, hi + base, at[lo] + base, mix64(h[at[lo]]), stretch(lo + base, hi + base + length), np.searchsorted(offsets, lo + base, side="right") - 1), stretch

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,12 +12,15 @@ from pyspark.sql import DataFrame
 
 from ..arrow_text import column_bytes, picked
 
-__all__ = ["BLOCK", "arrow", "column_bytes", "mix64", "picked", "powers", "slices", "word_hashes", "word_spans"]
+__all__ = ["BLOCK", "arrow", "column_bytes", "mix64", "picked", "powers", "slices", "span_hashes", "word_hashes", "word_spans"]
 
 #: Bytes handled at once; bounds the temporary arrays, whatever the length of a text.
 BLOCK = 1 << 20
 _MULTIPLIER = 0x5851F42D4C957F2D
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes above which a stretch is hashed on its own.
+LONG = 1024
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 #: Rows of an Arrow batch where the session has Spark's default: texts are long, and a batch is held several times.
@@ -64,6 +68,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches of data, none of them empty.
+
+    Eight bytes at a time go through a finaliser, so that no sum of powers is left that patterned texts could cancel;
+    a stretch above LONG bytes is hashed as a whole.
+    """
+    out = mix64(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(_MULTIPLIER))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live, done = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        rest = size[live] - done
+        load = eight[start[live] + done]
+        load &= _MASKS[np.minimum(rest, 8)]
+        out[live] = mix64(out[live] ^ load)
+        live = live[rest > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one block; cuts are offsets at which a row begins."""
     gap = (buf == 0x20) | ((buf >= 0x09) & (buf <= 0x0D))
@@ -78,14 +104,8 @@ def _block_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    up, down = powers(max(len(buf), BLOCK) + 1)
     low = buf + (((buf >= 65) & (buf <= 90)).astype(np.uint8) << 5)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * down[starts]
-    value += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(value), starts, ends
+    return span_hashes(low, starts, ends - starts), starts, ends
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
