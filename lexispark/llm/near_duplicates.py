@@ -9,11 +9,14 @@ exactly that similarity meets under no key with a probability below MISSED.
 Texts with equal sets are one class, whose smallest doc_id stands for it. Classes that meet under a key are joined to
 candidate families through the smallest class of each key, so the links sent grow with the keys, not with pairs.
 Inside a family all classes are compared on their full sets, in tiles of TILE x TILE classes that different tasks
-take; a tile sends on only links that join what it has not yet joined. No candidate is dropped.
+take: pairs whose signatures agree in fewer values than a pair at the threshold has (but for a probability of 1e-9) are
+passed over, the others are confirmed on their full sets. A tile sends on only links that join what it has not yet
+joined. No candidate is dropped.
 
 Defined results: null, empty and wordless texts have empty sets and are linked with nothing; a text with fewer than k
 words has its whole word sequence as its one shingle. Rows that share a doc_id count as one document. A null doc_id is
-linked with nothing, has a null component and is kept. Every input row gives one row.
+linked with nothing, has a null component and is kept. Every input row gives one row; an empty table gives none.
+Columns beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .textops import arrow, column_bytes, mix64, slices, word_hashes
 
 ROWS, MISSED, TILE = 5, 1e-7, 512
 #: Families up to this number of classes are sent to all workers instead of shuffling the texts.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 _SIGNED = "doc_id long, n long, h1 long, h2 long, signature binary"
 
 
@@ -165,50 +168,72 @@ class _Forest:
         return i != j
 
 
-def tile_links(reps: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the classes of a tile whose sets are alike by percent; sides: 0 and 1, or all 0 for one block."""
+def least_equal(values: int, similarity: float, missed: float = 1e-9) -> int:
+    """Equal values that the signatures of a pair of the given similarity have at least, but for a probability below missed."""
+    below, equal = 0.0, 0
+    while equal < values:
+        below += math.comb(values, equal) * similarity**equal * (1 - similarity) ** (values - equal)
+        if below >= missed:
+            break
+        equal += 1
+    return equal
+
+
+def tile_links(reps: list[int], sides: list[int], sets: list[np.ndarray], signed: np.ndarray, percent: int, least: int) -> list[tuple[int, int]]:
+    """Links that join the classes of a tile whose sets are alike by percent; sides: 0 and 1, or all 0 for one block.
+
+    Only pairs whose signatures agree in `least` values are compared on their sets, and none that is joined already.
+    """
     forest, links = _Forest(len(reps)), []
     sizes = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     names, which = np.unique(np.concatenate(sets), return_inverse=True)
     side, flag = np.array(sides), np.zeros(len(names), bool)
     across = bool(side.any())
     for x in np.flatnonzero(side == 0).tolist():
         if forest.trees == 1:
             break
-        own = which[starts[x] : starts[x] + sizes[x]]
+        near = np.count_nonzero(signed == signed[x], axis=1) >= least
+        if across:
+            near &= side == 1
+        else:
+            near[: x + 1] = False
+        some = [y for y in np.flatnonzero(near).tolist() if forest.find(y) != forest.find(x)]
+        if not some:
+            continue
+        own = which[cuts[x] : cuts[x + 1]]
         flag[own] = True
-        shared = np.add.reduceat(flag[which], starts, dtype=np.int64)
-        flag[own] = False
-        near = 100 * shared >= percent * (sizes + sizes[x] - shared)
-        for y in np.flatnonzero(near & (side == 1) if across else near).tolist():
-            if y != x and forest.join(x, y):
+        for y in some:
+            shared = int(np.count_nonzero(flag[which[cuts[y] : cuts[y + 1]]]))
+            if 100 * shared >= percent * (int(sizes[x]) + int(sizes[y]) - shared) and forest.join(x, y):
                 links.append((reps[x], reps[y]))
+        flag[own] = False
     return links
 
 
-def verified_links(families: DataFrame, docs: DataFrame, k: int, percent: int, tile: int = TILE) -> DataFrame:
-    """Links between classes of the same family, confirmed on full sets; families: rep, family, size."""
+def verified_links(families: DataFrame, docs: DataFrame, k: int, percent: int, chunks: int, tile: int = TILE) -> DataFrame:
+    """Links between classes of the same family, confirmed on full sets; families: rep, family, size, signature."""
+    least = least_equal(chunks * ROWS, percent / 100)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("size"), batch.column("doc_id"), found], names=["family", "size", "rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("size"), batch.column("doc_id"), batch.column("signature"), found], names=["family", "size", "rep", "signature", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, links = None, []
 
         def closed() -> list[tuple[int, int]]:
-            reps, sides, sets = zip(*held[1], strict=True)
-            return tile_links(reps, sides, sets, percent) if len(reps) > 1 else []
+            reps, sides, sets, signed = zip(*held[1], strict=True)
+            return tile_links(reps, sides, sets, np.stack(signed), percent, least) if len(reps) > 1 else []
 
         for batch in batches:
-            for family, low, high, side, rep, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, low, high, side, rep, signed, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is None or held[0] != (family, low, high):
                     if held:
                         links += closed()
                     held = (family, low, high), []
-                held[1].append((rep, side, np.frombuffer(raw, np.uint64)))
+                held[1].append((rep, side, np.frombuffer(raw, np.uint64), np.frombuffer(signed, np.uint16)))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
                 links = []
@@ -217,14 +242,28 @@ def verified_links(families: DataFrame, docs: DataFrame, k: int, percent: int, t
 
     few = families.count() <= BROADCAST_ROWS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = rows.join(F.broadcast(families) if few else families, F.col("doc_id") == F.col("rep")).select("family", "size", "doc_id", "text")
-    full = held.transform(arrow(sets, "family long, size long, rep long, shingles binary")).where(F.length("shingles") > 0)
+    held = rows.join(F.broadcast(families) if few else families, F.col("doc_id") == F.col("rep")).select("family", "size", "doc_id", "signature", "text")
+    full = held.transform(arrow(sets, "family long, size long, rep long, signature binary, shingles binary")).where(F.length("shingles") > 0)
     blocks = full.withColumn("blocks", F.ceil(F.col("size") / tile)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    tiles = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "shingles")
+    tiles = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "signature", "shingles")
     return tiles.repartition(shuffle_partitions(docs.sparkSession), "family", "low", "high").sortWithinPartitions("family", "low", "high", "rep").transform(arrow(compare, "a long, b long"))
 
 
+def _with_rep(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """signed with the rep of its class, null without a class.
+
+    Classes of more than 1 / (4 x partitions) of all rows are fewer than that, so they are sent to all tasks; the rows
+    of the others are exchanged.
+    """
+    limit = max(1, signed.count() // (4 * shuffle_partitions(signed.sparkSession)))
+    hot = reps.where(F.col("members") > limit).select("h1", "h2", "n", F.col("rep").alias("_hot"))
+    spread = signed.join(F.broadcast(hot), ["h1", "h2", "n"], "left").withColumn("_k", F.when(F.col("_hot").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id")))
+    cold = reps.where(F.col("members") <= limit).select(F.col("h1").alias("_k"), "h2", "n", "rep")
+    found = spread.join(cold, ["_k", "h2", "n"], "left").withColumn("rep", F.coalesce("_hot", "rep"))
+    return found.select("doc_id", "n", "h1", "h2", "signature", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the smallest doc_id of its component) of every row.
 
@@ -233,14 +272,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunks: int
     chunks = chunks or chunks_for(percent / 100)
     signed = settle(signatures(docs, k, chunks), "signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    members = usable.join(reps, ["h1", "h2", "n"])
-    classes = members.where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep", "signature"])
+    reps = settle(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
+    keyed = _with_rep(signed, reps)
+    members = keyed.where("rep IS NOT NULL AND doc_id IS NOT NULL")
+    classes = settle(members.where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep", "signature"]), "classes")
     met = meetings(classes, chunks)
     family = components(met).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     sizes = family.groupBy("family").agg(F.count("*").alias("size"))
-    families = settle(family.join(sizes, "family").select("rep", "family", "size"), "families")
-    links = verified_links(families, docs, k, percent)
+    families = settle(family.join(sizes, "family").join(classes, "rep").select("rep", "family", "size", "signature"), "families")
+    links = verified_links(families, docs, k, percent, chunks)
     found = components(links).select(F.col("node").alias("rep"), "component")
     # a document whose rows have different sets belongs to all their classes
     own = members.select("doc_id", "rep").where("doc_id != rep").distinct()
@@ -249,8 +289,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, chunks: int
         extra = own.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         found = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(extra)).select(F.col("node").alias("rep"), "component")
         keyed = signed.join(own.join(repeated, "doc_id", "left_anti"), "doc_id", "left")
-    else:
-        keyed = signed.join(reps, ["h1", "h2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")))
     placed = keyed.withColumn("rep", F.coalesce("rep", "doc_id")).join(found, "rep", "left")
     component = F.coalesce("component", "rep")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
