@@ -10,13 +10,15 @@ passage, whichever they are, so that truncated and edited copies count; or, abov
 of the item's question and of its answer (its last quarter of words, as the benchmark has one text column). Each item's
 threshold is lowered to a score that no passage with the share WHOLE of its sequences falls short of.
 
-Indexes are built for SHARD items at a time and sent to the workers in rounds of ROUND items, so that what is
-broadcast has a fixed bound; a larger benchmark takes more rounds over the documents. Document frequencies are counted
+Postings lists hold the items of a word with their impacts; a second list holds the largest impact of each block of items.
+Indexes are built for SHARD items at a time and sent to the workers in rounds of about ROUND items and ROUND_WORDS words,
+so that what is broadcast has a fixed bound; a larger benchmark takes more rounds over the documents. Document frequencies are counted
 over all items.
 
 Defined results: words are lower-cased runs of bytes other than ASCII white space and punctuation; null or wordless
 texts and items match nothing; copies of an item match alike; every input row is judged, repeated ones too. Empty
-tables give empty results.
+tables give empty results. Columns beside doc_id and text (item_id and text) are ignored, but for clean, which returns
+those of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .textops import arrow, column_bytes, mix64, slices, word_hashes
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, WHOLE = 0.6, 0.6, 0.6, 0.6
 BLOCK, SHARD, ROUND = 8, 512, 8192
+#: Words of a round's items; passages, and block maxima of passages, looked at together.
+ROUND_WORDS, WINDOWS, GATHERED = 1 << 22, 4096, 1 << 21
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[i for i in range(33, 128) if not chr(i).isalnum()]] = 32
 
@@ -57,8 +61,12 @@ def sequences(h: np.ndarray) -> np.ndarray:
 class Index:
     items: np.ndarray  # item_id
     terms: np.ndarray  # sorted word hashes
-    impact: np.ndarray  # terms x items
-    block: np.ndarray  # terms x blocks, maxima
+    first: np.ndarray  # of each term its first posting, and their number
+    item: np.ndarray  # postings by term: items, rising, and their impacts
+    impact: np.ndarray
+    first_block: np.ndarray  # the same of the blocks that its postings lie in, with the largest impact in each
+    block: np.ndarray
+    block_most: np.ndarray
     most: np.ndarray  # terms, maxima
     longest: int
     question: list[np.ndarray]
@@ -89,19 +97,23 @@ def build(items: list[tuple[int, np.ndarray]], frequency: dict[int, int], n_item
     terms = np.unique(np.concatenate([h for _, h in items]))
     df = np.array([frequency[t] for t in terms.tolist()], float)
     idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
-    impact, least = np.zeros((len(terms), len(items)), np.float32), np.zeros(len(items))
+    least, postings = np.zeros(len(items)), []
     for j, (_, h) in enumerate(items):
         at, place, tf = np.unique(np.searchsorted(terms, h), return_inverse=True, return_counts=True)
         weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
-        impact[at, j] = weight / weight.sum()
+        postings.append((at, np.full(len(at), j), weight / weight.sum()))
         least[j] = least_score(h, place, weight / weight.sum())
-    starts = np.arange(0, len(items), BLOCK)
-    block = np.maximum.reduceat(impact, starts, axis=1)
+    term, item, impact = (np.concatenate(x) for x in zip(*postings, strict=True))
+    order = np.lexsort((item, term))
+    term, item, impact = term[order], item[order], impact[order]
+    heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)]))
+    first, block_most = np.searchsorted(term, np.arange(len(terms) + 1)), np.maximum.reduceat(impact, heads)
     cut = [max(1, len(h) - max(3, len(h) // 4)) if len(h) > 3 else len(h) for _, h in items]
     question = [np.unique(sequences(h[:c])) for (_, h), c in zip(items, cut, strict=True)]
     answer = [np.unique(sequences(h[c:] if c < len(h) else h)) for (_, h), c in zip(items, cut, strict=True)]
     whole = [np.unique(sequences(h)) for _, h in items]
-    return Index(np.array([i for i, _ in items]), terms, impact, block, block.max(axis=1), max(len(h) for _, h in items), question, answer, whole, least)
+    lists = (first, item, impact, np.searchsorted(term[heads], np.arange(len(terms) + 1)), item[heads] // BLOCK, block_most, np.maximum.reduceat(impact, first[:-1]))
+    return Index(np.array([i for i, _ in items]), terms, *lists, max(len(h) for _, h in items), question, answer, whole, least)
 
 
 def search(index: Index, h: np.ndarray, offsets: np.ndarray, least: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
@@ -127,27 +139,42 @@ def search(index: Index, h: np.ndarray, offsets: np.ndarray, least: np.ndarray |
     windows, terms = windows[keep], terms[keep]
     if not len(windows):
         return []
+    found, blocks = [], -(-len(index.items) // BLOCK)
     starts = np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]]))
-    found = []
-    for lo in range(0, len(starts), 4096):  # bounds the gathered block maxima
-        some = starts[lo : lo + 4097]
-        end = some[-1] if len(some) == 4097 else len(windows)
-        some = some[:4096]
-        bound = np.add.reduceat(index.block[terms[some[0] : end]], some - some[0], axis=0)
-        sizes = np.diff(np.append(some, end))
-        for b in np.flatnonzero((bound >= least_of_block).any(axis=0)):
-            which = np.flatnonzero(bound[:, b] >= least_of_block[b])
-            pick = np.concatenate([np.arange(some[w], some[w] + sizes[w]) for w in which])
-            heads = np.concatenate([[0], np.cumsum(sizes[which])[:-1]])
-            score = np.add.reduceat(index.impact[terms[pick], b * BLOCK : (b + 1) * BLOCK], heads, axis=0)
-            for w, j in zip(*np.nonzero(score >= least[b * BLOCK : (b + 1) * BLOCK]), strict=True):
-                number = windows[some[which[w]]]
-                r = int(np.searchsorted(base, number, side="right") - 1)
-                start = int(number - base[r]) * step
-                found.append((r, start, min(2 * step, int(n[r]) - start), b * BLOCK + int(j), float(score[w, j])))
+    cuts = np.append(starts, len(windows))
+    gathered = np.concatenate([[0], np.cumsum(np.diff(index.first_block)[terms])])[cuts]
+    lo = 0
+    while lo < len(starts):  # bounds the gathered block maxima
+        hi = min(lo + WINDOWS, max(lo + 1, int(np.searchsorted(gathered, gathered[lo] + GATHERED, side="right")) - 1))
+        own = slice(cuts[lo], cuts[hi])
+        place = np.repeat(np.arange(hi - lo), np.diff(cuts[lo : hi + 1]))
+        entry, at = _expanded(index.first_block, terms[own])
+        bound = np.bincount(place[entry] * blocks + index.block[at], index.block_most[at], (hi - lo) * blocks).reshape(-1, blocks)
+        passed = bound >= least_of_block
+        some = passed.any(axis=1)
+        if some.any():
+            use = some[place]
+            number = np.cumsum(some) - 1
+            entry, at = _expanded(index.first, terms[own][use])
+            window, item = place[use][entry], index.item[at]
+            keep = passed[window, item // BLOCK]
+            score = np.bincount(number[window[keep]] * len(least) + item[keep], index.impact[at[keep]], int(some.sum()) * len(least)).reshape(-1, len(least))
+            for w, j in zip(*np.nonzero(score >= least), strict=True):
+                window = windows[starts[lo + np.flatnonzero(some)[w]]]
+                r = int(np.searchsorted(base, window, side="right") - 1)
+                start = int(window - base[r]) * step
+                found.append((r, start, min(2 * step, int(n[r]) - start), int(j), float(score[w, j])))
+        lo = hi
     return found
 
 
+def _expanded(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all postings of the terms, one list after the other: index of the term, and place of the posting."""
+    size = first[terms + 1] - first[terms]
+    entry = np.repeat(np.arange(len(terms)), size)
+    return entry, np.arange(len(entry)) + np.repeat(first[terms] - (np.cumsum(size) - size), size)
+
+
 def matches(index: Index, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(row, item_id, score, question overlap, answer overlap): the best verified passage of each row and item."""
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -182,7 +209,7 @@ def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
 
     postings = items.transform(arrow(counted, "item_id long, term long, tf long"))
     total = postings.groupBy().agg(F.sum("tf").alias("words"), F.countDistinct("item_id").alias("items")).first()
-    n_items, rounds = total["items"], -(-total["items"] // ROUND)
+    n_items, rounds = total["items"], max(-(-total["items"] // ROUND), -(-(total["words"] or 0) // ROUND_WORDS))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     for r in range(rounds):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r)
