@@ -1,15 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read in one pass into text blocks, each with its root-to-leaf path of tags (with class names). For every
-path of a page the text length, punctuation and link text of its blocks are added up; their ratios to the number of
-blocks are smoothed along the page, fused into one score and held against the page's standard deviation. The deepest
-element that holds all blocks of the selected paths is the content. Its blocks are the result, and those beside it that
-aren't mostly links, as headings and leads stand there; but for elements that are marked as menus, notices, adverts,
-comments and the like by their tag, role or class.
+A page is read in one pass into text blocks, each with its root-to-leaf path of block tags (with class names). Paths
+through menus, adverts, forms, comments and the like that a page marks as such by tag, role or class score 0. Over the
+others, text length, punctuation and link text are added up for every path and for all that lies below it:
+
+* ratio of a path: characters for each block * log(1.5 + punctuation for each block) * share of text outside links,
+* surroundings of a path: the ratio over all blocks below its parent, or FADE of the parent's own surroundings,
+* smoothed ratio: the ratios along the page under a kernel of (1/4, 1/2, 1/4), averaged over the path's blocks.
+
+A path's score fuses the three, each as a share of the page's largest, times its share of text outside links, times
+OUTSIDE for paths that avoid article and main where those hold a fifth of the text. Paths whose score reaches LEAST of
+the mean score (weighted by text) are content: their blocks are the result, in page order.
 
 Defined results: a null, empty or textless page gives the empty string. White space inside a block becomes one space
-(a <br> counts as white space), blocks are joined by one line feed, nothing is cut. Every input row gives one row.
-Work and memory are linear in a page's length.
+(a <br> counts as white space), blocks are joined by one line feed, nothing is cut. Every input row gives one row; columns
+beside page_id, url and html are ignored, whatever their names, and an empty table gives none. Work and memory are linear
+in a page's length.
 """
 
 from __future__ import annotations
@@ -32,7 +38,6 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option".split()
 )
-HOLDERS = frozenset("article main section div body html center table tbody td details blockquote".split())
 #: Elements that an opening tag of the given kind ends.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -48,13 +53,22 @@ ENDS = {
 # What marks an element as no part of the article.
 SIDE_TAGS = frozenset("nav footer aside form head menu dialog button label input fieldset search".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-SIDE_WORDS = frozenset(
-    "ad ads alert alerts adbox adslot adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation "
-    "newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply "
-    "responses search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toc toolbar topbar tracking warning widget widgets".split()
+COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies reply responses".split())
+SIDE_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adbox adslot adsense advert adverts advertisement advertising alert alerts banner banners breadcrumb breadcrumbs consent cookie cookies "
+    "copyright footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination "
+    "paywall popup promo promoted promotion recommended related share sharing sidebar sidebars signup social sponsor sponsored subscribe "
+    "subscription toolbar topbar tracking widget widgets".split()
+)
+# Words that may stand beside these in a class name without changing its meaning.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box buttons center col column container desktop fixed form global inner item items left line links list "
+    "main message mobile module outer page panel posts primary reader readers right row secondary section site sticky text the top user users view wrap wrapper".split()
 )
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+MARKABLE = frozenset("div section ul ol dl p span center details figure".split())
+#: Weights of ratio, surroundings and smoothed ratio; see above.
+WEIGHTS, FADE, OUTSIDE, LEAST = (0.25, 0.6, 0.15), 0.9, 0.2, 0.2
+_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _VALUE = re.compile(r""">|=\s*["']""")
@@ -92,17 +106,24 @@ def _aside(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
         return False
     if attributes.get("role", "").lower() in SIDE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    if tag in ("html", "body", "article", "main") and not re.search("comment|reply", attributes.get("class", "") + attributes.get("id", "")):
-        return False
-    marked = {w.lower() for w in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")} & SIDE_WORDS
-    return bool(marked - {"header"} if inside_article else marked)  # an article's own header holds its title
+    if tag in MARKABLE:
+        for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+            words = {w.lower() for w in _WORD.findall(name)}
+            if words & COMMENT_WORDS and words <= SIDE_WORDS | NEUTRAL_WORDS | {"post", "article", "entry"}:
+                return True
+            marked = words & SIDE_WORDS
+            if inside_article:
+                marked -= {"header"}  # an article's own header holds its title
+            if marked and words <= SIDE_WORDS | NEUTRAL_WORDS:
+                return True
+    return False
 
 
-def blocks(page: str) -> tuple[list[tuple[int, int, str, bool, int]], list[tuple[int, str]]]:
-    """In page order: path, innermost element, text, whether marked as aside, characters in links; and of each element
-    its parent and tag, element 0 being the page."""
-    found, stack, pieces, link = [], [], [], 0  # stack: tag, element, aside, path
-    elements, paths = [(0, "")], {}
+def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, bool]]]:
+    """In page order: path, text, characters in links; and of each path its parent (a smaller number), its last tag and
+    whether it is marked as aside, path 0 being the page."""
+    found, stack, pieces, link = [], [], [], 0  # stack: tag, aside, path
+    paths: dict[tuple[int, str, bool, str], int] = {}
     where: dict[str, list[int]] = {"": []}  # places in the stack by tag, and of all of BLOCK
     unclosed: set[int] = set()
     i, n = 0, len(page)
@@ -114,8 +135,7 @@ def blocks(page: str) -> tuple[list[tuple[int, int, str, bool, int]], list[tuple
         nonlocal link
         if pieces:
             if text := " ".join(entities.unescape("".join(pieces)).split()):
-                _, element, aside, path = stack[-1] if stack else ("", 0, False, 0)
-                found.append((path, element, text, aside, min(link, len(text))))
+                found.append((stack[-1][2] if stack else 0, text, min(link, len(text))))
             pieces.clear()
         link = 0
 
@@ -185,62 +205,64 @@ def blocks(page: str) -> tuple[list[tuple[int, int, str, bool, int]], list[tuple
                 pieces.append(" ")
                 continue
             attributes = _attributes(raw)
-            above = stack[-1] if stack else ("", 0, False, 0)
-            aside = above[2] or _aside(tag, attributes, bool(where.get("article") or where.get("main")))
-            path = paths.setdefault((above[3], tag, attributes.get("class", "")), len(paths) + 1) if tag in BLOCK else above[3]
+            above = stack[-1] if stack else ("", False, 0)
+            aside = above[1] or _aside(tag, attributes, bool(where.get("article") or where.get("main")))
+            path = paths.setdefault((above[2], tag, aside, attributes.get("class", "")), len(paths) + 1) if tag in BLOCK or aside != above[1] else above[2]
             where.setdefault(tag, []).append(len(stack))
             if tag in BLOCK:
                 where[""].append(len(stack))
-            stack.append((tag, len(elements), aside, path))
-            elements.append((above[1], tag))
+            stack.append((tag, aside, path))
         else:
             pieces.append("<")
             i += 1
     flush()
-    return found, elements
+    return found, [(0, "", False), *(key[:3] for key in paths)]
+
+
+def _ratio(count: np.ndarray, length: np.ndarray, points: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    n = np.maximum(count, 1)
+    return length / n * np.log(1.5 + points / n) * (1 - linked / np.maximum(length, 1))
 
 
-def path_scores(found: list) -> np.ndarray:
-    """Of each block, the fused and smoothed tag-path ratio of its path."""
-    names: dict[int, int] = {}
-    path = np.array([names.setdefault(b[0], len(names)) for b in found])
-    length = np.array([len(b[2]) for b in found], float)
-    count = np.bincount(path)
-    text = np.bincount(path, length) / count
-    points = np.bincount(path, [len(_PUNCTUATION.findall(b[2])) for b in found]) / count
-    linked = np.bincount(path, [b[4] for b in found]) / np.maximum(np.bincount(path, length), 1)
-    ratio = (text * np.log1p(points + 0.5) * (1 - linked))[path]
-    kernel = np.array([0.25, 0.5, 0.25])  # smoothing over neighbouring blocks
-    smooth = np.convolve(np.pad(ratio, 1, mode="edge"), kernel, mode="valid")
-    return (ratio + smooth) / 2
+def path_scores(found: list[tuple[int, str, int]], paths: list[tuple[int, str, bool]]) -> np.ndarray:
+    """Of each path its fused score; 0 for marked paths and those without blocks."""
+    score = np.zeros(len(paths))
+    found = [b for b in found if not paths[b[0]][2]]
+    if not found:
+        return score
+    path = np.array([b[0] for b in found])
+    length = np.array([len(b[1]) for b in found], float)
+    columns = (np.ones(len(found)), length, np.array([len(_PUNCTUATION.findall(b[1])) for b in found], float), np.array([b[2] for b in found], float))
+    sums = [np.bincount(path, c, len(paths)) for c in columns]
+    below = [c.tolist() for c in sums]
+    for p in range(len(paths) - 1, 0, -1):
+        for c in below:
+            c[paths[p][0]] += c[p]
+    own, whole = _ratio(*sums), _ratio(*map(np.array, below))
+    around, within = whole.copy(), [False] * len(paths)
+    for p, (above, tag, _) in enumerate(paths[1:], 1):
+        around[p] = max(whole[above], FADE * around[above])
+        within[p] = within[above] or tag in ("article", "main")
+    smooth = np.convolve(np.pad(own[path], 1, mode="edge"), (0.25, 0.5, 0.25), mode="valid")
+    smooth = np.bincount(path, smooth, len(paths)) / np.maximum(sums[0], 1)
+    for w, x in zip(WEIGHTS, (own, around, smooth), strict=True):
+        score += w * x / (x.max() or 1)
+    score *= (sums[0] > 0) * (1 - sums[3] / np.maximum(sums[1], 1))
+    if 5 * sums[1][within].sum() >= length.sum():
+        score[~np.array(within)] *= OUTSIDE
+    return score
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, joined by line feeds."""
-    found, elements = blocks(page or "")
-    usable = [i for i, b in enumerate(found) if not b[3]]
-    if not usable:
+    """The blocks on content paths, joined by line feeds."""
+    found, paths = blocks(page or "")
+    if not found:
         return ""
-    article = [False] * len(elements)  # an element's number is above its parent's
-    for e, (above, tag) in enumerate(elements):
-        article[e] = article[above] or tag in ("article", "main")
-    usable = [i for i in usable if article[found[i][1]]] or usable
-    score = path_scores(found)[usable]
-    content = [i for i, s in zip(usable, score, strict=True) if s >= min(score.std(), score.max() * 0.5)]
-    held = [0] * len(elements)
-    for i in content:
-        held[found[i][1]] += 1
-    for e in range(len(elements) - 1, 0, -1):
-        held[elements[e][0]] += held[e]
-    best = max((e for e, (_, tag) in enumerate(elements) if held[e] == len(content) and tag in HOLDERS), default=0)
-    part = best  # a part of an article stands for the article
-    while part and elements[part][1] not in ("article", "main"):
-        part = elements[part][0]
-    best = part or best
-    inside = [False] * len(elements)
-    for e, (above, _) in enumerate(elements):
-        inside[e] = e == best or inside[above]
-    return "\n".join(found[i][2] for i in usable if inside[found[i][1]] or 2 * found[i][4] < len(found[i][2]))
+    score = path_scores(found, paths)
+    own = np.array([score[b[0]] for b in found])
+    length = np.array([len(b[1]) for b in found]) * (own > 0)
+    least = LEAST * float(own @ length) / max(1, int(length.sum()))
+    return "\n".join(b[1] for b, s in zip(found, own.tolist(), strict=True) if s > 0 and s >= least)
 
 
 def extract(pages: DataFrame) -> DataFrame:

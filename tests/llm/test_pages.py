@@ -1,11 +1,15 @@
 import hashlib
 import html
+import math
+import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from lexispark.llm import files, main_text, warc
+from lexispark.llm import main_text as m
 
 PAGES = "page_id long, url string, html string, digest string, shard int, first long"
 
@@ -133,6 +137,80 @@ def test_articles_in_several_elements(page, lines):
     assert "".join(x[-1] for x in main_text.main_text(page).split("\n")) == lines
 
 
+def tree_page(r, depth=0):
+    """A random well-formed page part and its blocks as (path, text, characters in links, marked)."""
+    out, found = [], []
+    for _ in range(r.randrange(1, 5)):
+        kind = r.choice(["p", "p", "h2", "li", "div", "section", "article", "nav", "links"] if depth < 3 else ["p", "h2", "li"])
+        name = r.choice(["", "", "x", "share-of-market"]) if kind in ("div", "p") else ""
+        if kind in ("p", "h2", "li"):
+            text = " ".join(r.choice(["word", "longer,", "and", "end.", "more"]) for _ in range(r.randrange(1, 40)))
+            out.append(f'<{kind} class="{name}">{text}</{kind}>')
+            found.append((((kind, name),), text, 0, False))
+        elif kind == "links":
+            out.append("<ul><li><a href='/'>one link</a></li></ul>")
+            found.append(((("ul", ""), ("li", "")), "one link", 8, False))
+        else:
+            inner, below = tree_page(r, depth + 1)
+            out.append(f'<{kind} class="{name}">{inner}</{kind}>')
+            found += [(((kind, name), *path), text, linked, marked or kind == "nav") for path, text, linked, marked in below]
+    return "".join(out), found
+
+
+def by_definition(found):
+    """The rule of the module's docstring, path by path."""
+    use = [b for b in found if not b[3]]
+    if not use:
+        return ""
+
+    def ratio(some):
+        n, size = len(some), sum(len(t) for _, t, _, _ in some)
+        points = sum(len(re.findall("[.,;:!?]", t)) for _, t, _, _ in some)
+        return size / n * math.log(1.5 + points / n) * (1 - sum(x for _, _, x, _ in some) / size) if some else 0.0
+
+    below = lambda path: ratio([b for b in use if b[0][: len(path)] == path])
+    own = {p: ratio([b for b in use if b[0] == p]) for p in {b[0] for b in use}}
+    every = {b[0][:k] for b in found for k in range(len(b[0]) + 1)}
+    around = {p: max([m.FADE**k * below(p[: max(0, len(p) - 1 - k)]) for k in range(len(p))], default=below(p)) for p in every}
+    around = {p: max(x, m.FADE ** len(p) * below(())) for p, x in around.items()}
+    line = [own[b[0]] for b in use]
+    smooth = [(a + 2 * b + c) / 4 for a, b, c in zip([line[0], *line], line, [*line[1:], line[-1]], strict=False)]
+    mean = {p: sum(s for s, b in zip(smooth, use, strict=True) if b[0] == p) / sum(b[0] == p for b in use) for p in own}
+    inside = lambda p: any(t in ("article", "main") for t, _ in p)
+    trusted = 5 * sum(len(b[1]) for b in use if inside(b[0])) >= sum(len(b[1]) for b in use)
+    score = {}
+    for p in own:
+        linked = sum(b[2] for b in use if b[0] == p) / sum(len(b[1]) for b in use if b[0] == p)
+        parts = zip(m.WEIGHTS, (own[p], around[p], mean[p]), (max(own.values()), max(around.values()), max(mean.values())), strict=True)
+        score[p] = sum(w * x / (top or 1) for w, x, top in parts) * (1 - linked) * (m.OUTSIDE if trusted and not inside(p) else 1)
+    size = sum(len(b[1]) for b in use if score[b[0]] > 0)
+    least = m.LEAST * sum(score[b[0]] * len(b[1]) for b in use) / max(1, size)
+    return "\n".join(b[1] for b in use if 0 < score[b[0]] >= least - 1e-12)
+
+
+def test_equals_the_definition_on_random_pages():
+    r, dropped = random.Random(11), 0
+    for _ in range(400):
+        page, found = tree_page(r)
+        assert main_text.main_text(page) == by_definition(found), page
+        dropped += main_text.main_text(page) != "\n".join(b[1] for b in found if not b[3])
+    assert dropped > 40  # pages on which the scores, not the marks, decide
+
+
+def test_scores_decide(spark, sf_dir, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    right = [main_text.main_text(p) for p in pages]
+    r = random.Random(1)
+    monkeypatch.setattr(main_text, "path_scores", lambda found, paths: np.array([r.random() for _ in paths]))
+    assert sum(main_text.main_text(p) != t for p, t in zip(pages, right, strict=True)) > 0.5 * len(pages)
+
+
+def test_words_of_a_class_name_are_read_together():
+    body = f"<p>{LONG}</p>"
+    page = f'<article>{body}<div class="share-of-market">Share, of a market.</div><p class="warning">Careful, hot.</p><table class="related"><tr><td>Cell, one.</td></tr></table><div class="share-buttons">Share, now.</div></article>'
+    assert main_text.main_text(page).split("\n")[1:] == ["Share, of a market.", "Careful, hot.", "Cell, one."]
+
+
 def test_linear_on_hostile_pages():
     began = time.time()
     for page in ("<a b='" * 50_000, "<div>" * 50_000, "<!--" * 50_000, "<" * 50_000, "<p>" * 50_000, "<script>" * 20_000):
