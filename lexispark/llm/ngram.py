@@ -12,7 +12,8 @@ Scoring maps the arrays into memory and looks up each batch's different pairs in
 p(w|v) = max(c(v,w) - D(c), 0) / c(v) + g(v) p(w),  p(w) = max(k(w) - d(k), 0) / K + g / (V + 1).
 
 Defined results: a null text is empty and has one token, its end. Rows with null doc_id are learned from and are not
-held out. Without learned tokens every token has probability 1 / (V + 1) = 1. Every input row gives one row.
+held out. Without learned tokens every token has probability 1 / (V + 1) = 1. Every input row gives one row; an empty table gives
+none. Columns beside doc_id and text are ignored, whatever their names; repeated rows are learned from as often.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ starts with the same anchor form a run; its text (its starts' strings) belongs t
    to take the spans out of the texts.
 
 Defined results: texts are UTF-8 bytes, a null text is empty; strings never cross documents; copies of a row are
-documents of their own. A text shorter than `length` keeps everything. Every input row gives one row.
+documents of their own. A text shorter than `length` keeps everything. Every input row gives one row; an empty table
+gives none. Columns beside doc_id and text are ignored by summary, and kept by without_repeats whatever their names.
 """
 
 from __future__ import annotations

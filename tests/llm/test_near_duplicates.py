@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexispark.llm import near_duplicates as n
@@ -64,3 +66,26 @@ def test_documents_with_two_texts(spark):
     rows = [(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "e f g h"), (4, "x y z")]
     got = {(r["doc_id"], r["component_id"]) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_template_pages(spark):
+    """Pages that share half of their text chain into one candidate family; few of its pairs are compared on their sets."""
+    r = random.Random(8)
+    template = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(template + [f"w{r.randrange(10**6)}" for _ in range(r.randrange(40, 90))])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(repr(tuple(x)) for x in n.near_duplicates(df, 3, 85).collect())
+    assert got == brute(rows, 3, 85)
+    chunks = n.chunks_for(0.85)
+    factors = n._factors(chunks * n.ROWS)
+    signed = np.stack([n.signature(s, factors) for s in n.shingle_sets(pa.array([t for _, t in rows]), 3)])
+    equal = (signed[:, None] == signed[None]).sum(axis=2)
+    close = int((np.triu(equal, 1) >= n.least_equal(chunks * n.ROWS, 0.85)).sum())
+    assert 20 <= close < 0.05 * len(rows) ** 2 / 2
+
+
+def test_least_equal_values():
+    assert n.least_equal(45, 1.0) == 45 and n.least_equal(45, 0.85) < 0.85 * 45
+    r = np.random.default_rng(2)
+    assert (r.random((20_000, 45)) < 0.85).sum(axis=1).min() >= n.least_equal(45, 0.85)
