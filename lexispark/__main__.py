@@ -8,7 +8,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import alphabet, checks, kmers, ranking, suffix_tree, toplevel
+from .operators import alphabet, checks, ranking, suffix_tree, toplevel
+from .operators import blocks as B
 from .operators import suffix_array as S
 from .plans.index import TextIndex
 from .session import settle
@@ -16,13 +17,14 @@ from .sources import store, text
 
 
 def _text(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """One string of a whole file or of random DNA; with lines, a string of each line."""
+    """Pieces of one string, of a whole file or of random DNA; with lines, a string of each line."""
     if getattr(a, "random", 0):
-        parts = text.random_dna(spark, a.random, a.seed).agg(F.sort_array(F.collect_list(F.struct("pos", "ch"))).alias("s"))
-        return parts.select(F.lit(0).cast("long").alias("str_id"), F.array_join(F.transform("s", lambda x: x["ch"]), "").alias("text"))
+        piece = F.floor(F.col("pos") / 65536)
+        parts = text.random_dna(spark, a.random, a.seed).groupBy(piece.alias("p")).agg(F.sort_array(F.collect_list(F.struct("pos", "ch"))).alias("s"))
+        return parts.select(F.lit(0).cast("long").alias("str_id"), (F.col("p") * 65536).cast("long").alias("pos"), F.array_join(F.transform("s", lambda x: x["ch"]), "").alias("text"))
     if getattr(a, "lines", False):
         return text.line_strings(spark, a.file)
-    return text.whole_texts(spark, a.file).select(F.lit(0).cast("long").alias("str_id"), "text")
+    return text.text_pieces(spark, a.file)
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -42,7 +44,9 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.check:
             checks.check_suffix_tree(edges, n).show()
     if a.output:
-        TextIndex(strings, index.sa, lcp.select("rank", "lcp"), alphabet.codes(strings)).save(a.output)
+        TextIndex.build(strings, a.k, a.times).save(a.output)
+        store.write_native(index.sa, f"{a.output}/sa64", "pos", "rank")
+        store.write_native(lcp, f"{a.output}/lcp64", "lcp", "rank")
         if edges is not None:
             edges.write.mode("overwrite").parquet(f"{a.output}/tree")
 
@@ -60,15 +64,14 @@ def locate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def kmer_stats(spark: SparkSession, a: argparse.Namespace) -> None:
-    counts = ranking.ranked(kmers.kmer_histogram(_text(spark, a), a.k), ["kmer"]).select(F.col("idx").alias("bin"), "n")
-    bins, p = settle(counts, "bins"), 2
-    while p <= 1024:
-        toplevel.imbalance(toplevel.partition_bins(bins, p)).show()
-        p *= 2
+    counts = ranking.ranked(B.kmer_counts(B.of_strings(settle(_text(spark, a), "strings")), a.k), ["kmer"]).select(F.col("idx").alias("bin"), "n")
+    for parts in toplevel.partitions(settle(counts, "bins"), [1 << p for p in range(1, 11)]):
+        toplevel.imbalance(parts).show()
 
 
 def make_patterns(spark: SparkSession, a: argparse.Namespace) -> None:
-    text.substring_patterns(_text(spark, a), a.number, a.length).select("pattern").write.mode("overwrite").text(a.output)
+    strings = _text(spark, a) if a.random or a.lines else text.whole_texts(spark, a.file).select(F.lit(0).cast("long").alias("str_id"), "text")
+    text.substring_patterns(strings.select("str_id", "text"), a.number, a.length).select("pattern").write.mode("overwrite").text(a.output)
 
 
 def dump(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -91,8 +94,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         return c
 
     c = command("build", build)
-    c.add_argument("-k", type=int, default=16)
-    c.add_argument("--times", type=int, default=2, help="2 doubles, 3 triples, ...")
+    c.add_argument("-k", type=int, default=0, help="symbols of the first keys; 0: as many as fit a word")
+    c.add_argument("--times", type=int, default=0, help="2 doubles, 3 triples, ...; 0: automatic")
     c.add_argument("-i", "--iterations", type=int, default=1)
     for name in ("lcp", "tree", "check"):
         c.add_argument(f"-{name[0]}", f"--{name}", action="store_true")

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def characters(strings: DataFrame) -> DataFrame:
-    """str_id, pos, ch: one row for each code point. A text is split once, in its own row."""
+    """str_id, pos, ch: one row for each code point of strings (str_id, text) or pieces of them (str_id, pos, text). A text
+    is split once, in its own row."""
     parts = F.when(F.length("text") > 0, F.split("text", ""))
-    return strings.select("str_id", F.posexplode(parts).alias("pos", "ch")).where("ch != ''").select("str_id", F.col("pos").cast("long").alias("pos"), "ch")
+    first = F.col("pos") if "pos" in strings.columns else F.lit(0)
+    each = strings.select("str_id", first.alias("_first"), F.posexplode(parts).alias("_at", "ch")).where("ch != ''")
+    return each.select("str_id", (F.col("_first") + F.col("_at")).cast("long").alias("pos"), "ch")
 
 
 def histogram(strings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import alphabet, rmq
-from .suffix_array import SuffixArray
+from .suffix_array import SuffixArray, with_before
 
 
 def check_sa(index: SuffixArray, strings: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def check_lcp(index: SuffixArray, lcp: DataFrame, strings: DataFrame) -> DataFra
     which share the smallest value between their ranks (nothing where one of them is the end).
     """
     chars = alphabet.characters(strings)
-    rows = lcp.join(chars, ["str_id", "pos"]).join(chars.select(F.col("str_id").alias("p_str"), F.col("pos").alias("p_pos"), F.col("ch").alias("p_ch")), ["p_str", "p_pos"], "left")
+    rows = with_before(lcp).join(chars, ["str_id", "pos"]).join(chars.select(F.col("str_id").alias("p_str"), F.col("pos").alias("p_pos"), F.col("ch").alias("p_ch")), ["p_str", "p_pos"], "left")
     rows = rows.withColumn("same", F.coalesce(F.col("ch") == F.col("p_ch"), F.lit(False)))
     ahead = index.sa.select("str_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("own"))
     before = index.sa.select(F.col("str_id").alias("p_str"), (F.col("pos") - 1).alias("p_pos"), F.col("rank").alias("other"))

@@ -8,14 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bulk_gather(queries: DataFrame, vector: DataFrame, index: str = "idx", value: str = "value") -> DataFrame:
-    """queries (with column index) and the vector's value at that index; null beyond the vector."""
-    return queries.join(vector.select(F.col("idx").alias(index), value), index, "left")
+#: Rows of a vector that are sent to all tasks rather than exchanged, and bytes of a value at most.
+REPLICATED, VALUE_BYTES = 1 << 20, 64
 
 
-def bulk_query(queries: DataFrame, vector: DataFrame, answer: Callable[[DataFrame], Column], index: str = "idx") -> DataFrame:
+def bulk_gather(queries: DataFrame, vector: DataFrame, index: str = "idx", value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """queries (with column index) and the vector's value at that index; null beyond the vector. With keys (as a str_id),
+    the index counts inside each string."""
+    return queries.join(vector.select(*keys, F.col("idx").alias(index), value), [*keys, index], "left")
+
+
+def replicated_gather(queries: DataFrame, vector: DataFrame, index: str = "idx", value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """bulk_gather from a vector that every task holds, where its checked size allows it: REPLICATED numbers or short
+    values; a larger one is exchanged."""
+    own = vector.select(*keys, F.col("idx").alias(index), value)
+    n, widest = own.agg(F.count("*"), F.max(F.octet_length(F.col(value).cast("string")))).first()
+    few = n <= REPLICATED and (widest or 0) <= VALUE_BYTES
+    return queries.join(F.broadcast(own) if few else own, [*keys, index], "left")
+
+
+def bulk_query(queries: DataFrame, vector: DataFrame, answer: Callable[[DataFrame], Column], index: str = "idx", keys: tuple[str, ...] = ()) -> DataFrame:
     """queries with result = answer(joined row); answer gets the joined frame and returns a column."""
-    joined = queries.join(vector.withColumnRenamed("idx", index), index, "left")
+    joined = queries.join(vector.withColumnRenamed("idx", index), [*keys, index], "left")
     return joined.withColumn("result", answer(joined))
 
 
@@ -37,9 +51,9 @@ def multi_shift(vector: DataFrame, distance: int, times: int, value: str = "valu
     return vector
 
 
-def bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Rows dealt to partitions by key, with their original place in column place."""
-    return rows.withColumn("place", F.monotonically_increasing_id()).repartition(buckets, key)
+def bucketed(rows: DataFrame, key: str, buckets: int, index: str = "idx") -> DataFrame:
+    """Rows dealt to partitions by key, with their original place (their index) in column place."""
+    return rows.withColumn("place", F.col(index)).repartition(buckets, key)
 
 
 def redistribute(vector: DataFrame, partitions: int, index: str = "idx") -> DataFrame:

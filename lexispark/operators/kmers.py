@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..arrow_text import column_bytes, strings
 
@@ -52,21 +53,41 @@ def packed_kmers(strings: DataFrame, alphabet: DataFrame, k: int, bits: int) ->
     """str_id, pos, packed: codes of k symbols from the left, zero beyond the string's end."""
     if k * bits > 63:
         raise ValueError("k symbols don't fit 63 bits")
-    table = {r["ch"]: r["code"] for r in alphabet.collect()}  # an alphabet is small
-    pairs = [F.lit(x) for item in sorted(table.items()) for x in item]
-    code = F.create_map(*pairs)
-    ready = strings.where(F.length("text") > 0).select("str_id", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: code[c].cast("long")).alias("c"))
-    word = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0).cast("long"), lambda acc, j: F.shiftleft(acc, bits) + F.coalesce(F.get(F.col("c"), i + j), F.lit(0).cast("long")))
-    each = F.transform(F.sequence(F.lit(0), F.size("c") - 1), word)
-    return ready.select("str_id", F.posexplode(each).alias("pos", "packed")).select("str_id", F.col("pos").cast("long").alias("pos"), "packed")
+    rows = alphabet.collect()  # at most the code points of Unicode
+    code = np.zeros(0x110000, np.int64)
+    code[[ord(r["ch"]) for r in rows]] = [r["code"] for r in rows]
+    shared = strings.sparkSession.sparkContext.broadcast(code)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shared.value[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.int32)]
+                for at in range(0, len(own), STEP):
+                    part = np.concatenate([own[at : at + STEP + k - 1], np.zeros(k, np.int64)])
+                    n = min(STEP, len(own) - at)
+                    word = np.zeros(n, np.int64)
+                    for j in range(k):
+                        word = word << bits | part[j : j + n]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.arange(at, at + n)), pa.array(word)], names=["str_id", "pos", "packed"])
+
+    return strings.select(F.col("str_id").cast("long").alias("str_id"), "text").mapInArrow(work, "str_id long, pos long, packed long")
 
 
 def decode_kmers(packed: DataFrame, alphabet: DataFrame, k: int, bits: int) -> DataFrame:
     """packed with kmer; symbols beyond the end are shown as '0'."""
-    table = {r["code"]: r["ch"] for r in alphabet.collect()}
-    char = F.create_map(*[F.lit(x) for item in [(0, "0"), *sorted(table.items())] for x in (int(item[0]), item[1])])
-    parts = [char[F.shiftrightunsigned("packed", bits * (k - 1 - i)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")] for i in range(k)]
-    return packed.withColumn("kmer", F.concat(*parts))
+    rows = alphabet.collect()
+    names = dict([(0, "0"), *((r["code"], r["ch"]) for r in rows)])
+    shared, schema = packed.sparkSession.sparkContext.broadcast(names), T.StructType([*packed.schema.fields, T.StructField("kmer", T.StringType())])
+    at = packed.columns.index("packed")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column(at).to_numpy()
+            symbols = [[shared.value[c] for c in (word >> bits * (k - 1 - i) & (1 << bits) - 1).tolist()] for i in range(k)]
+            found = pa.array(["".join(x) for x in zip(*symbols, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "kmer"])
+
+    return packed.mapInArrow(work, schema)
 
 
 def kmer_histogram(texts: DataFrame, k: int) -> DataFrame:

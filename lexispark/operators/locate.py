@@ -23,11 +23,24 @@ def qmer_table(strings: DataFrame, q: int) -> DataFrame:
     return ranked(counts, ["qmer"], add="n").select("qmer", F.col("before").alias("l"), (F.col("before") + F.col("n")).alias("r"))
 
 
+def budgeted_q(sigma: int, longest: int, budget: int = 1 << 22) -> int:
+    """Symbols of a lookup table with at most `budget` entries of an alphabet of sigma symbols; 1 at least."""
+    q = 1
+    while q < longest and sigma ** (q + 1) <= budget:
+        q += 1
+    return q
+
+
 def qmer_ranges(strings: DataFrame, patterns: DataFrame, q: int) -> DataFrame:
     """pattern_id, l, r of patterns of at most q symbols."""
-    counts = kmers.kmer_histogram(strings, q).select(F.col("kmer").alias("key"), F.lit(1).alias("kind"), "n", F.lit(None).cast("long").alias("pattern_id"))
+    return table_ranges(kmers.kmer_histogram(strings, q).withColumnRenamed("kmer", "qmer"), patterns)
+
+
+def table_ranges(counts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern_id, l, r of patterns of at most as many symbols as the q-mers of counts (qmer, n) have."""
+    entries = counts.select(F.col("qmer").alias("key"), F.lit(1).alias("kind"), "n", F.lit(None).cast("long").alias("pattern_id"))
     ask = lambda key, kind: patterns.select(key.alias("key"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("n"), "pattern_id")
-    both = counts.unionByName(ask(F.col("pattern"), 0)).unionByName(ask(F.concat(F.col("pattern"), F.lit(LAST)), 2))
+    both = entries.unionByName(ask(F.col("pattern"), 0)).unionByName(ask(F.concat(F.col("pattern"), F.lit(LAST)), 2))
     order = ranked(both, ["key", "kind"], add="n").where("kind != 1")
     return order.groupBy("pattern_id").agg(F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("l"), F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("r"))
 
@@ -46,10 +59,18 @@ def locate(strings: DataFrame, patterns: DataFrame, q: int = 4) -> DataFrame:
 
 
 def occurrences(strings: DataFrame, patterns: DataFrame, q: int = 8) -> DataFrame:
-    """pattern_id, str_id, pos of every occurrence of every pattern of q symbols or more."""
-    rest = patterns.select("pattern_id", "pattern", F.substring("pattern", 1, q).alias("qmer"))
+    """pattern_id, str_id, pos of every occurrence of every pattern that isn't empty.
+
+    Patterns meet the strings on their first q symbols; shorter ones on q-mers of their own length.
+    """
+    size = F.length("pattern")
+    rest = patterns.where(size >= q).select("pattern_id", "pattern", F.substring("pattern", 1, q).alias("qmer"))
     met = kmers.kmers(strings, q).withColumnRenamed("kmer", "qmer").join(rest, "qmer").join(strings, "str_id")
-    return met.where(F.substr("text", F.col("pos").cast("int") + 1, F.length("pattern")) == F.col("pattern")).select("pattern_id", "str_id", "pos")
+    found = met.where(F.substr("text", F.col("pos").cast("int") + 1, F.length("pattern")) == F.col("pattern")).select("pattern_id", "str_id", "pos")
+    for r in patterns.where((size > 0) & (size < q)).select(size.alias("n")).distinct().collect():  # fewer than q lengths
+        short = patterns.where(size == r["n"]).select("pattern_id", F.col("pattern").alias("kmer"))
+        found = found.unionByName(kmers.kmers(strings, r["n"]).join(short, "kmer").select("pattern_id", "str_id", "pos"))
+    return found
 
 
 def count_occurrences(strings: DataFrame, patterns: DataFrame, q: int = 4) -> DataFrame:

@@ -58,7 +58,8 @@ def _numbered(df: DataFrame, keys: list[str], add: str | None) -> DataFrame:
         if held:
             yield finished(held, False)
 
-    ordered = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    # rows with equal keys are told apart by a hash, so that a frequent key is spread over partitions
+    ordered = df.withColumn("_salt", F.xxhash64(*df.columns)).repartitionByRange(shuffle_partitions(df.sparkSession), *keys, "_salt").drop("_salt").sortWithinPartitions(*keys)
     return settle(ordered.mapInArrow(work, T.StructType([*df.schema.fields, *(T.StructField(*x) for x in _EXTRA)])), "order")
 
 
@@ -66,20 +67,29 @@ def ranked(df: DataFrame, keys: list[str], add: str | None = None) -> DataFrame:
     """df with idx (0-based position by keys), bucket (idx of the first row with equal keys) and single (whether no
     other row has these keys).
 
-    With add, also before: the sum of that column over all rows in front. Rows are range-partitioned, so equal keys share
-    a partition; the numbers are stored before they are used, as another run might draw other bounds. Only one row for
-    each partition reaches the driver.
+    With add, also before: the sum of that column over all rows in front. Rows are range-partitioned; where equal keys lie
+    in several partitions, their run is carried over the borders. The numbers are stored before they are used, as another
+    run might draw other bounds. Only one row for each partition reaches the driver.
     """
     rows = _numbered(df, keys, add)
     spark = df.sparkSession
-    sums = rows.groupBy("_pid").agg(F.count("*").alias("n"), F.max(F.col("_sum") + (F.col(add) if add else F.lit(0))).alias("s")).orderBy("_pid").collect()
-    offsets, n, s = [], 0, 0
-    for r in sums:
-        offsets.append((r["_pid"], n, s))
+    own = F.struct(*keys)
+    parts = rows.groupBy("_pid").agg(
+        F.count("*").alias("n"), F.max(F.col("_sum") + (F.col(add) if add else F.lit(0))).alias("s"), F.min_by(own, "_li").alias("first"), F.max_by(own, "_li").alias("last"), F.max("_run").alias("run")
+    ).orderBy("_pid").collect()
+    offsets, n, s, start = [], 0, 0, 0
+    for i, r in enumerate(parts):
+        again = i > 0 and r["first"] == parts[i - 1]["last"]  # the first run began in a partition before
+        more = i + 1 < len(parts) and parts[i + 1]["first"] == r["last"]
+        head = start if again else n
+        offsets.append((r["_pid"], n, s, head, again, r["run"] if more else -1))
+        start = n + r["run"] if r["run"] else head
         n, s = n + r["n"], s + (r["s"] or 0)
-    table = spark.createDataFrame(offsets, "_pid int, _n long, _s long")
+    table = spark.createDataFrame(offsets, "_pid int, _n long, _s long, _head long, _again boolean, _more long")
     joined = rows.join(F.broadcast(table), "_pid")
-    extra = [(F.col("_li") + F.col("_n")).alias("idx"), (F.col("_run") + F.col("_n")).alias("bucket"), F.col("_single").alias("single")]
+    bucket = F.when(F.col("_run") == 0, F.col("_head")).otherwise(F.col("_run") + F.col("_n"))
+    single = F.col("_single") & ~(F.col("_again") & (F.col("_run") == 0)) & (F.col("_run") != F.col("_more"))
+    extra = [(F.col("_li") + F.col("_n")).alias("idx"), bucket.alias("bucket"), single.alias("single")]
     if add:
         extra.append((F.col("_sum") + F.col("_s")).alias("before"))
     return joined.select(*df.columns, *extra)
@@ -102,11 +112,13 @@ def fill_forward(df: DataFrame, order: str, value: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, held = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = []
-            for v in batch.column(mark).to_pylist():
-                held = v or held
-                out.append(held)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([pid] * batch.num_rows, pa.int32()), pa.array(out, pa.int64())], names=[*batch.schema.names, "_pid", "_last"])
+            if not batch.num_rows:
+                continue
+            v = batch.column(mark).fill_null(0).to_numpy().astype(np.int64)
+            at = np.maximum.accumulate(np.where(v > 0, np.arange(len(v)), -1))
+            out = np.where(at >= 0, v[at], held)
+            held = int(out[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(v), pid, np.int32)), pa.array(out)], names=[*batch.schema.names, "_pid", "_last"])
 
     ordered = df.repartitionByRange(shuffle_partitions(spark), order).sortWithinPartitions(order)
     rows = settle(ordered.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_last", T.LongType())])), "filled")

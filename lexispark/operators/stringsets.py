@@ -21,8 +21,9 @@ def flatten(strings: DataFrame, separator: str, key: str = "text_id", order: str
 
 
 def offsets(strings: DataFrame) -> DataFrame:
-    """str_id, begin, end: places of the strings in their concatenation by str_id. Empty strings vanish."""
-    sizes = strings.where(F.length("text") > 0).select("str_id", F.length("text").cast("long").alias("size"))
+    """str_id, begin, end: places of the strings (str_id, text or size) in their concatenation by str_id. Empty ones vanish."""
+    size = F.col("size") if "size" in strings.columns else F.length("text")
+    sizes = strings.where(size > 0).select("str_id", size.cast("long").alias("size"))
     return ranked(sizes, ["str_id"], add="size").select("str_id", F.col("before").alias("begin"), (F.col("before") + F.col("size")).alias("end"))
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 from .ansv import ansv
-
-#: Bins that the driver bisects at most.
-MOST_BINS = 1 << 24
+from .ranking import ranked
 
 
 def sample_lcp(lcp: DataFrame, most: int) -> DataFrame:
@@ -24,45 +24,65 @@ def sample_lcp(lcp: DataFrame, most: int) -> DataFrame:
     return rows.where((F.col("v") == 0) | (F.col("z") - F.col("a") > most)).select("idx", F.col("v").alias("lcp"))
 
 
-def bisected(sums: list[int], parts: int) -> list[int]:
-    """First bin of each part, from inclusive running sums of bin sizes.
+def _cuts(sums: DataFrame, ranges: list[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    """Of each range (low, high, goal) of bins, by its number: the bin where the running sum comes closest to the goal, the
+    larger sum on a tie, and that sum. One row of each range and batch is aggregated; sums (idx, s) stay where they are."""
+    low, high, goal = (np.array(c, np.int64) for c in zip(*ranges, strict=True))
+    order = np.argsort(low, kind="stable")
 
-    A range of bins is cut where its running sum comes closest to its share, the later bin on a tie; the left half
-    gets the odd part. Empty ranges leave their parts empty.
-    """
-    starts = [0] * parts
-    ranges = [(0, len(sums), 0, parts)]
-    while ranges:
-        low, high, part, n = ranges.pop()
-        if n == 1:
-            continue
-        if low == high:
-            starts[part + 1 : part + n] = [low] * (n - 1)
-            continue
-        before = sums[low - 1] if low else 0
-        left = (n + 1) // 2
-        goal = before + (sums[high - 1] - before) * left // n
-        at = bisect_left(sums, goal, low, high)
-        if at > low and goal - sums[at - 1] < sums[at] - goal:
-            at -= 1
-        starts[part + left] = at + 1
-        ranges += [(low, at + 1, part, left), (at + 1, high, part + left, n - left)]
-    return starts
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.searchsorted(low[order], idx, side="right") - 1
+            own = order[np.maximum(at, 0)]
+            use = np.flatnonzero((at >= 0) & (idx < high[own]))
+            own, idx, s = own[use], idx[use], s[use]
+            away = np.abs(s - goal[own])
+            by = np.lexsort((idx, -s, away, own))
+            best = by[np.flatnonzero(np.concatenate([[True], own[by][1:] != own[by][:-1]]))] if len(by) else by
+            yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (own, away, -s, idx)], names=["range", "away", "less", "idx"])
+
+    found = sums.select("idx", "s").mapInArrow(work, "range long, away long, less long, idx long")
+    rows = found.groupBy("range").agg(F.min(F.struct("away", "less", "idx")).alias("x")).collect()
+    return {r["range"]: (r["x"]["idx"], -r["x"]["less"]) for r in rows}
 
 
 def partition_bins(bins: DataFrame, parts: int) -> DataFrame:
-    """part, first_bin, rows for bins (bin, n) in order of bin; the number of bins is checked before they are collected."""
-    if bins.count() > MOST_BINS:
-        raise ValueError("too many bins: use shorter q-mers")
-    rows = bins.orderBy("bin").select("n").collect()
-    sums, total = [], 0
-    for r in rows:
-        total += r["n"]
-        sums.append(total)
-    starts = bisected(sums, parts)
-    ends = [*starts[1:], len(sums)]
-    at = lambda i: sums[i - 1] if i else 0
-    return bins.sparkSession.createDataFrame([(p, a, max(0, at(z) - at(a))) for p, (a, z) in enumerate(zip(starts, ends, strict=True))], "part long, first_bin long, rows long")
+    """part, first_bin (its place in order) and rows for bins (bin, n), however many."""
+    return partitions(bins, [parts])[0]
+
+
+def partitions(bins: DataFrame, numbers: list[int]) -> list[DataFrame]:
+    """partition_bins for several numbers of parts, which share the running sums and the cuts they have in common.
+
+    A range of bins is cut where its running sum comes closest to its share, the larger sum on a tie; the left half gets
+    the odd part. Empty ranges leave their parts empty. Each level of halving passes over the running sums once; only the
+    cuts reach the driver.
+    """
+    sums = settle(ranked(bins.select("bin", "n"), ["bin"], add="n").select("idx", (F.col("before") + F.col("n")).alias("s")), "sums")
+    n, total = sums.agg(F.count("*"), F.coalesce(F.max("s"), F.lit(0))).first()
+    known: dict[tuple[int, int, int], tuple[int, int]] = {}
+    return [_partition(sums, n, total, parts, known) for parts in numbers]
+
+
+def _partition(sums: DataFrame, n: int, total: int, parts: int, known: dict[tuple[int, int, int], tuple[int, int]]) -> DataFrame:
+    starts = {0: (0, 0)}  # of a part its first bin and the sum before it
+    level = [(0, n, 0, total, 0, parts)]  # first and last bin, sums before and behind, first part, parts
+    while level := [x for x in level if x[5] > 1]:
+        asked = [(low, high, before + (after - before) * ((k + 1) // 2) // k) for low, high, before, after, _, k in level]
+        if fresh := [x for x in asked if x[0] < x[1] and x not in known]:
+            found = _cuts(sums, fresh)
+            known.update((x, found[i]) for i, x in enumerate(fresh))
+        halves = []
+        for i, (low, high, before, after, part, k) in enumerate(level):
+            left = (k + 1) // 2
+            at = known.get(asked[i])
+            cut, s = (at[0] + 1, at[1]) if at else (low, before)
+            starts[part + left] = cut, s
+            halves += [(low, cut, before, s, part, left), (cut, high, s, after, part + left, k - left)]
+        level = halves
+    own = [starts[p] for p in range(parts)] + [(n, total)]
+    return sums.sparkSession.createDataFrame([(p, own[p][0], max(0, own[p + 1][1] - own[p][1])) for p in range(parts)], "part long, first_bin long, rows long")
 
 
 def imbalance(parts: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Queries of the text-index operators over the driver's tables, with their SQL equivalents.
 
-Bindings: the nation text joins all nation names by key; the part set holds all part names (many equal ones); the
-event sequence holds whole values of all events by event_id. Every query reads its whole table.
+Bindings: the nation text joins all nation names by key, the customer text all customer names; the part set holds all
+part names (many equal ones), the document set all texts; the event sequence holds whole values of all events by event_id.
+Every query reads its whole table.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..operators import suffix_array as S
 from ..operators.ansv import ansv
 from ..session import scratch, settle, table
 from ..sources import store, text
+from .index import TextIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +40,13 @@ def nation_text(spark: SparkSession, sf: str) -> DataFrame:
     return names.select(F.lit(0).cast("long").alias("str_id"), F.array_join(F.transform("s", lambda x: x["n_name"]), "").alias("text"))
 
 
+def customer_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces (str_id, pos, text) of one string: customer names by key, none of them with the others in one row."""
+    names = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("str_id"), F.col("c_name").alias("text"))
+    places = stringsets.offsets(names).select("str_id", F.col("begin").alias("pos"))
+    return names.join(places, "str_id").select(F.lit(0).cast("long").alias("str_id"), "pos", "text")
+
+
 def part_set(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("str_id"), F.col("p_name").alias("text"))
 
@@ -54,15 +63,18 @@ NATION = "t AS (SELECT string_agg(n_name, '' ORDER BY n_nationkey) AS s FROM nat
 NATION_SUFFIXES = f"{NATION}, x AS (SELECT CAST(i AS BIGINT) AS pos, substr(s, i + 1) AS suf, substr(s, i + 1, 1) AS ch, length(s) AS n FROM t, range(0, (SELECT length(s) FROM t)) r(i))"
 LCP = "coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda k: left(a, k) = left(b, k))), 0)"
 NATION_SA = f"{NATION_SUFFIXES}, o AS (SELECT CAST(row_number() OVER (ORDER BY suf) - 1 AS BIGINT) AS rank, pos, suf FROM x), c AS (SELECT rank, pos, suf, lag(suf) OVER (ORDER BY rank) AS b, suf AS a, lag(pos) OVER (ORDER BY rank) AS p_pos FROM o), l AS (SELECT rank, pos, p_pos, suf, CAST(CASE WHEN b IS NULL THEN 0 ELSE {LCP} END AS BIGINT) AS lcp FROM c)"
+# customer names are numbered, so 60 symbols tell all suffixes apart
+CUSTOMER_SUFFIXES = "t AS (SELECT string_agg(c_name, '' ORDER BY c_custkey) AS s FROM customer), x AS (SELECT CAST(i AS BIGINT) AS pos, substr(s, i + 1, 60) AS suf, substr(s, i + 1, 1) AS ch FROM t, range(0, (SELECT length(s) FROM t)) r(i))"
+CUSTOMER_SA = f"{CUSTOMER_SUFFIXES}, o AS (SELECT CAST(row_number() OVER (ORDER BY suf) - 1 AS BIGINT) AS rank, pos, ch, suf FROM x), c AS (SELECT rank, pos, suf AS a, lag(suf) OVER (ORDER BY rank) AS b, lag(pos) OVER (ORDER BY rank) AS p_pos FROM o), l AS (SELECT rank, pos, p_pos, CAST(CASE WHEN b IS NULL THEN 0 ELSE {LCP} END AS BIGINT) AS lcp FROM c)"
 PART = "p AS (SELECT CAST(p_partkey AS BIGINT) AS str_id, p_name AS s, CAST(coalesce(sum(length(p_name)) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS beg FROM part)"
 PART_SUFFIXES = f"{PART}, x AS (SELECT str_id, CAST(i AS BIGINT) AS pos, beg + i AS gidx, substr(s, i + 1) AS suf, length(s) AS n FROM (SELECT str_id, s, beg, unnest(range(0, length(s))) AS i FROM p))"
 PART_SA = f"{PART_SUFFIXES}, o AS (SELECT CAST(row_number() OVER (ORDER BY suf, gidx) - 1 AS BIGINT) AS rank, str_id, pos, gidx, suf FROM x)"
-PART_LCP = f"{PART_SA}, c AS (SELECT rank, str_id, pos, suf AS a, lag(suf) OVER (ORDER BY rank) AS b FROM o), l AS (SELECT rank, str_id, pos, CAST(CASE WHEN b IS NULL THEN 0 ELSE {LCP} END AS BIGINT) AS lcp FROM c)"
+PART_LCP = f"{PART_SA}, c AS (SELECT rank, str_id, pos, suf AS a, lag(suf) OVER w AS b, lag(str_id) OVER w AS p_str, lag(pos) OVER w AS p_pos FROM o WINDOW w AS (ORDER BY rank)), l AS (SELECT rank, str_id, pos, p_str, p_pos, CAST(CASE WHEN b IS NULL THEN 0 ELSE {LCP} END AS BIGINT) AS lcp FROM c)"
 EVENTS = "e AS (SELECT CAST(event_id AS BIGINT) AS idx, CAST(floor(value) AS BIGINT) AS v FROM events)"
 
 
 def nation_index(spark: SparkSession, sf: str, times: int = 2) -> S.SuffixArray:
-    return S.suffix_array(nation_text(spark, sf), k=4, times=times)
+    return S.suffix_array(nation_text(spark, sf), times=times)
 
 
 # alphabets
@@ -210,36 +222,43 @@ def fill_forward(spark, sf):
 # suffix arrays of one text
 
 
-@query(f"WITH {NATION_SA} SELECT rank, pos, lcp FROM l")
+@query(f"WITH {CUSTOMER_SA} SELECT rank, pos, lcp FROM l")
 def suffix_array(spark, sf):
-    return S.lcp_array(nation_index(spark, sf)).select("rank", "pos", "lcp")
+    return S.lcp_array(S.suffix_array(customer_text(spark, sf))).select("rank", "pos", "lcp")
 
 
-@query(f"WITH {NATION_SA} SELECT pos, rank FROM l")
+@query(f"WITH {CUSTOMER_SA} SELECT pos, rank FROM l")
 def inverse_suffix_array(spark, sf):
-    return S.inverse(nation_index(spark, sf)).select("pos", "rank")
+    return S.inverse(S.suffix_array(customer_text(spark, sf))).select("pos", "rank")
 
 
-@query(f"WITH {NATION_SA} SELECT rank, pos FROM l")
+@query(f"WITH {CUSTOMER_SA} SELECT rank, pos FROM l")
 def suffix_array_tripling(spark, sf):
-    return nation_index(spark, sf, times=3).sa.select("rank", "pos")
+    return S.suffix_array(customer_text(spark, sf), k=2, times=3).sa.select("rank", "pos")
 
 
-@query(f"WITH {NATION_SA} SELECT rank, lcp, CASE WHEN p_pos IS NOT NULL THEN coalesce(nullif(substr((SELECT s FROM t), CAST(p_pos + lcp + 1 AS BIGINT), 1), ''), '$') END AS lc FROM l")
+@query(f"WITH {CUSTOMER_SA} SELECT rank, lcp, CASE WHEN p_pos IS NOT NULL THEN coalesce(nullif(substr((SELECT s FROM t), CAST(p_pos + lcp + 1 AS BIGINT), 1), ''), '$') END AS lc FROM l")
 def lc_array(spark, sf):
-    return S.lc_array(S.lcp_array(nation_index(spark, sf)), alphabet.characters(nation_text(spark, sf)))
+    pieces = customer_text(spark, sf)
+    return S.lc_array(settle(S.lcp_array(S.suffix_array(pieces)), "lcp"), alphabet.characters(pieces))
+
 
+@query(f"WITH {PART_LCP} SELECT rank, lcp, CASE WHEN p_str IS NOT NULL THEN coalesce(nullif(substr(p.s, CAST(p_pos + lcp + 1 AS BIGINT), 1), ''), '$') END AS lc FROM l LEFT JOIN p ON p.str_id = l.p_str")
+def generalized_lc(spark, sf):
+    return S.lc_array(settle(S.lcp_array(S.suffix_array(part_set(spark, sf))), "lcp"), alphabet.characters(part_set(spark, sf)))
 
-@query(f"WITH {NATION_SA} SELECT rank, CASE WHEN pos = 0 THEN '$' ELSE substr((SELECT s FROM t), pos, 1) END AS ch FROM l")
+
+@query(f"WITH {PART_SA} SELECT rank, CASE WHEN pos = 0 THEN '$' ELSE substr(s, pos, 1) END AS ch FROM o JOIN p ON p.str_id = o.str_id")
 def bwt(spark, sf):
-    return S.bwt(nation_index(spark, sf), alphabet.characters(nation_text(spark, sf)))
+    return S.bwt(S.suffix_array(part_set(spark, sf)), alphabet.characters(part_set(spark, sf)))
 
 
-@query(f"WITH {NATION_SUFFIXES} SELECT pos, ch FROM x")
+@query(f"WITH {CUSTOMER_SUFFIXES} SELECT pos, ch FROM x")
 def inverse_bwt(spark, sf):
-    strings = nation_text(spark, sf)
-    found = S.bwt(nation_index(spark, sf), alphabet.characters(strings))
-    last = strings.select(F.lit(-1).cast("long").alias("rank"), F.substring("text", -1, 1).alias("ch"))  # the suffix that is the end alone
+    pieces = customer_text(spark, sf)
+    found = S.bwt(S.suffix_array(pieces), alphabet.characters(pieces))
+    end = pieces.select(F.lit(-1).cast("long").alias("rank"), F.struct("pos", F.substring("text", -1, 1).alias("ch")).alias("x"))
+    last = end.groupBy("rank").agg(F.max("x").alias("x")).select("rank", "x.ch")  # the suffix that is the end alone
     return S.inverse_bwt(found.unionByName(last).withColumn("rank", F.col("rank") + 1))
 
 
@@ -254,12 +273,12 @@ def suffix_array_int(spark, sf):
 
 @query(f"WITH {PART_SA} SELECT rank, str_id, pos, gidx FROM o")
 def generalized_suffix_array(spark, sf):
-    return S.suffix_array(part_set(spark, sf), k=4).sa
+    return S.suffix_array(part_set(spark, sf)).sa
 
 
 @query(f"WITH {PART_LCP} SELECT rank, lcp FROM l")
 def generalized_lcp(spark, sf):
-    return S.lcp_array(S.suffix_array(part_set(spark, sf), k=4)).select("rank", "lcp")
+    return S.lcp_array(S.suffix_array(part_set(spark, sf))).select("rank", "lcp")
 
 
 @query(f"WITH {PART_LCP}, g AS (SELECT l.*, o.gidx FROM l JOIN o ON o.rank = l.rank) SELECT rank, str_id, pos, gidx, lcp FROM g")
@@ -268,19 +287,29 @@ def suffix_array_one_task(spark, sf):
     return local_suffix.local_suffix_array(part_set(spark, sf))
 
 
-@query()
+def _doubling_sql(start: int, levels: int) -> str:
+    """Suffix order of all documents: by their first `start` symbols, then by four times as many, `levels` times."""
+    text = f"""d AS (SELECT CAST(doc_id AS BIGINT) AS str_id, text, length(text) AS size, CAST(coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS beg FROM documents WHERE length(text) > 0),
+    k AS MATERIALIZED (SELECT str_id, pos, beg + pos AS gidx, beg + size - 1 AS last, rank() OVER (ORDER BY substr(text, CAST(pos + 1 AS BIGINT), {start})) AS b FROM (SELECT str_id, text, beg, size, unnest(range(0, size)) AS pos FROM d))"""
+    h, last = start, "k"
+    for i in range(levels):
+        ahead = ", ".join(f"CASE WHEN gidx + {j * h} <= last THEN lead(b, {j * h}) OVER w ELSE 0 END AS b{j}" for j in (1, 2, 3))
+        text += f""",
+    k{i} AS MATERIALIZED (SELECT str_id, pos, gidx, last, rank() OVER (ORDER BY b, b1, b2, b3) AS b FROM (SELECT str_id, pos, gidx, last, b, {ahead} FROM {last} WINDOW w AS (ORDER BY gidx)))"""
+        h, last = 4 * h, f"k{i}"
+    return f"WITH {text} SELECT CAST(row_number() OVER (ORDER BY b, gidx) - 1 AS BIGINT) AS rank, str_id, CAST(pos AS BIGINT) AS pos, CAST(gidx AS BIGINT) AS gidx FROM {last}"
+
+
+@query(_doubling_sql(64, 6))
 def documents_suffix_array(spark, sf):
-    """Generalized suffix array of all documents by the strategy their size asks for; tests hold both against brute force."""
-    strings = document_set(spark, sf)
-    if local_suffix.fits(strings):
-        return local_suffix.local_suffix_array(strings, common=False).drop("lcp")
-    return S.suffix_array(strings, k=32, times=4).sa
+    """Generalized suffix array of all whole documents."""
+    return S.suffix_array(document_set(spark, sf)).sa
 
 
 @query()
-def documents_suffix_array_distributed(spark, sf):
-    """The same by distributed doubling, whatever the size."""
-    return S.suffix_array(document_set(spark, sf), k=32, times=4).sa
+def documents_lcp(spark, sf):
+    """Common prefixes of neighbours among all suffixes of all whole documents; held against brute force in the tests."""
+    return S.lcp_array(S.suffix_array(document_set(spark, sf))).select("rank", "lcp")
 
 
 # nearest smaller values
@@ -348,8 +377,8 @@ TREE = f"""{NATION_SA}, n AS (SELECT count(*) AS n FROM l), v AS (SELECT rank AS
     tree AS (SELECT CAST(parent AS BIGINT) AS parent, CAST(coalesce(code, 0) AS BIGINT) AS code, CAST(child AS BIGINT) AS child FROM edges LEFT JOIN x ON x.pos = edges.pos + depth LEFT JOIN alpha ON alpha.ch = x.ch)"""
 
 
-def _tree(spark, strings, k=4):
-    index = S.suffix_array(strings, k=k)
+def _tree(spark, strings):
+    index = S.suffix_array(strings)
     lcp = settle(S.lcp_array(index), "lcp")
     return suffix_tree.suffix_tree(index, lcp, alphabet.characters(strings), alphabet.codes(strings)), lcp
 
@@ -391,6 +420,21 @@ LOCATED = f"{PART_SUFFIXES}, {PATTERNS}, r AS (SELECT pattern_id, CAST(sum(CASE
 
 @query(f"WITH {LOCATED} SELECT pattern_id, l, l + hits AS r FROM r")
 def locate_patterns(spark, sf):
+    """Through an index of the part set: q-mer table, then search in the suffix array."""
+    return TextIndex.build(part_set(spark, sf), budget=1 << 12).locate(_patterns(spark, sf))
+
+
+@query(f"WITH {LOCATED} SELECT pattern_id, l, l + hits AS r FROM r")
+def locate_stored(spark, sf):
+    """The same through an index that was written and read back."""
+    path = scratch(spark, "stored")
+    TextIndex.build(part_set(spark, sf), budget=1 << 12).save(path)
+    return TextIndex.load(spark, path).locate(_patterns(spark, sf))
+
+
+@query(f"WITH {LOCATED} SELECT pattern_id, l, l + hits AS r FROM r")
+def locate_by_qmers(spark, sf):
+    """The same without an index, where patterns and suffixes meet on q-mers."""
     return locate.locate(part_set(spark, sf), _patterns(spark, sf), q=4)
 
 
@@ -435,16 +479,32 @@ def _bins(spark, sf):
     return settle(ranking.ranked(counts, ["kmer"]).select(F.col("idx").alias("bin"), "n"), "bins")
 
 
-@query()
+BINS = """b AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY kmer) - 1 AS BIGINT) AS i, CAST(sum(n) OVER (ORDER BY kmer) AS BIGINT) AS s FROM
+    (SELECT kmer, count(*) AS n FROM (SELECT substr(text, CAST(i + 1 AS BIGINT), 2) AS kmer FROM (SELECT text, unnest(range(0, length(text))) AS i FROM documents)) GROUP BY kmer))"""
+
+
+def _bisection_sql(levels: int) -> str:
+    """Tables l{levels}_0 ... and p{levels}: the parts of all bins after so many halvings."""
+    name = f"l{levels}"
+    text = f"{name}_0 AS (SELECT CAST(0 AS BIGINT) AS low, count(*) AS high, CAST(0 AS BIGINT) AS before, max(s) AS after, CAST(0 AS BIGINT) AS part, {1 << levels} AS k FROM b)"
+    for j in range(levels):
+        text += f""", {name}_c{j} AS MATERIALIZED (SELECT * FROM (SELECT l.*, i, s, row_number() OVER (PARTITION BY part ORDER BY abs(s - (before + (after - before) // 2)), s DESC, i) AS o FROM {name}_{j} l LEFT JOIN b ON i >= low AND i < high) WHERE o = 1),
+    {name}_{j + 1} AS MATERIALIZED (SELECT low, coalesce(i + 1, low) AS high, before, coalesce(s, before) AS after, part, k // 2 AS k FROM {name}_c{j}
+        UNION ALL SELECT coalesce(i + 1, low), high, coalesce(s, before), after, part + k // 2, k // 2 FROM {name}_c{j})"""
+    return text + f", p{levels} AS (SELECT part, low AS first_bin, CAST(greatest(0, lead(before, 1, (SELECT max(s) FROM b)) OVER (ORDER BY part) - before) AS BIGINT) AS rows FROM {name}_{levels})"
+
+
+@query(f"WITH {BINS}, {_bisection_sql(4)} SELECT part, first_bin, rows FROM p4")
 def partition_bisection(spark, sf):
-    """Parts of all q-mer bins of the documents; held against a recursive version in the tests."""
+    """Parts of all q-mer bins of the documents."""
     return toplevel.partition_bins(_bins(spark, sf), 16)
 
 
-@query()
+@query(f"WITH {BINS}, {', '.join(map(_bisection_sql, range(1, 11)))}, u AS (" + " UNION ALL ".join(f"SELECT {p} AS p, rows FROM p{p}" for p in range(1, 11)) + """), m AS (SELECT count(*) AS parts, max(rows) AS most, min(rows) AS least, CAST(floor(sum(rows) / count(*)) AS BIGINT) AS mean FROM u GROUP BY p)
+    SELECT parts, most, least, CAST(most - mean AS DOUBLE) * CAST(100 AS DOUBLE) / nullif(mean, 0) AS percent FROM m""")
 def partition_imbalance(spark, sf):
-    bins = _bins(spark, sf)
-    found = [toplevel.imbalance(toplevel.partition_bins(bins, 1 << p)) for p in range(1, 9)]
+    """Load imbalance of 2 to 1024 parts."""
+    found = [toplevel.imbalance(x) for x in toplevel.partitions(_bins(spark, sf), [1 << p for p in range(1, 11)])]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -456,12 +516,12 @@ def partition_imbalance(spark, sf):
 
 @query("SELECT CAST(0 AS BIGINT) AS missing_ranks, CAST(0 AS BIGINT) AS missing_places, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unordered")
 def check_sa(spark, sf):
-    return checks.check_sa(S.suffix_array(part_set(spark, sf), k=4), part_set(spark, sf))
+    return checks.check_sa(S.suffix_array(part_set(spark, sf)), part_set(spark, sf))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS wrong")
 def check_lcp(spark, sf):
-    index = S.suffix_array(part_set(spark, sf), k=4)
+    index = S.suffix_array(part_set(spark, sf))
     return checks.check_lcp(index, settle(S.lcp_array(index), "lcp"), part_set(spark, sf))
 
 
@@ -504,7 +564,7 @@ def mk_patterns(spark, sf):
 @query(f"WITH {PART_LCP} SELECT rank, str_id, pos, lcp FROM l")
 def index_round_trip(spark, sf):
     """Suffix array and common prefixes of the part set, written, read back with the size check, and joined."""
-    index = S.suffix_array(part_set(spark, sf), k=4)
+    index = S.suffix_array(part_set(spark, sf))
     lcp = settle(S.lcp_array(index), "lcp")
     path = scratch(spark, "index")
     store.write_index(path, sa=index.sa, lcp=lcp.select("rank", "lcp"))
@@ -514,6 +574,6 @@ def index_round_trip(spark, sf):
 
 @query(f"WITH {EVENTS} SELECT idx, v FROM e")
 def native_array_round_trip(spark, sf):
-    path = scratch(spark, "u64")
-    store.write_u64(event_values(spark, sf), path)
-    return store.read_u64_blocks(spark, path)
+    path = scratch(spark, "native")
+    store.write_native(event_values(spark, sf), path)
+    return store.read_native(spark, path)

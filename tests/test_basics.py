@@ -61,11 +61,17 @@ def test_gathers_and_shifts(spark):
     queries = spark.createDataFrame([(0, 3), (1, 3), (2, 99)], "qid long, idx long")
     assert {(x["qid"], x["value"]) for x in gather.bulk_gather(queries, vector).collect()} == {(0, 9), (1, 9), (2, None)}
     assert {(x["qid"], x["result"]) for x in gather.bulk_query(queries, vector, lambda d: d["value"] + d["qid"]).collect()} == {(0, 9), (1, 10), (2, None)}
+    few = gather.replicated_gather(queries, vector)
+    assert {(x["qid"], x["value"]) for x in few.collect()} == {(0, 9), (1, 9), (2, None)}
+    inner = spark.createDataFrame([(s, i, 10 * s + i) for s in (1, 2) for i in range(3)], "str_id long, idx long, value long")
+    asked = spark.createDataFrame([(0, 2, 1), (1, 1, 2), (2, 1, 3)], "qid long, str_id long, idx long")
+    for found in (gather.bulk_gather(asked, inner, keys=("str_id",)), gather.replicated_gather(asked, inner, keys=("str_id",)), gather.bulk_query(asked, inner, lambda d: d["value"], keys=("str_id",)).withColumnRenamed("result", "x")):
+        assert {(x["qid"], x["value"]) for x in found.collect()} == {(0, 21), (1, 12), (2, None)}
     assert [x["shifted"] for x in gather.shift(vector, 8).orderBy("idx").collect()] == [64, 81] + [0] * 8
     assert [(x["b1"], x["b2"]) for x in gather.multi_shift(vector, 2, 2).orderBy("idx").collect()][:2] == [(4, 16), (9, 25)]
     turned = gather.bulk_permute(vector.withColumn("to", 9 - F.col("idx")), "to")
     assert [x["value"] for x in turned.orderBy("idx").collect()] == [i * i for i in range(9, -1, -1)]
-    assert gather.bucketed(vector, "value", 3).select("place").distinct().count() == 10
+    assert all(x["place"] == x["idx"] for x in gather.bucketed(vector.repartition(4), "value", 3).collect())
     assert gather.partition_sizes(gather.redistribute(vector, 3)).agg(F.sum("n")).first()[0] == 10
 
 
@@ -98,6 +104,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "lines").write_text("abc\n\nde\nlast")
     assert sorted(x["text"] for x in text.line_strings(spark, f"file://{tmp_path}/lines").collect()) == ["abc", "de", "last"]
     assert text.whole_texts(spark, f"file://{tmp_path}/lines").first()["text"] == "abc\n\nde\nlast"
+    for data in ("abc\n\nde\nlast", "é\r\n\U0001f600\n", "\n", ""):
+        (tmp_path / "whole").write_bytes(data.encode())
+        pieces = text.text_pieces(spark, f"file://{tmp_path}/whole").orderBy("pos").collect()
+        assert "".join(x["text"] for x in pieces) == data
+        assert [x["pos"] for x in pieces] == [sum(len(y["text"]) for y in pieces[:i]) for i in range(len(pieces))]
     assert text.patterns(spark, f"file://{tmp_path}/lines").count() == 3
     assert [x["pattern"] for x in text.patterns_parsed(spark, "a\n\nb").orderBy("pattern_id").collect()] == ["a", "b"]
     assert text.patterns_from(spark, ["x", "", "y"]).count() == 2
@@ -119,10 +130,17 @@ def test_stored_indexes(spark, tmp_path):
         store.write_index(path, other=sa)
 
 
-def test_native_arrays(spark, tmp_path):
+def test_native_arrays(spark, tmp_path, monkeypatch):
     values = spark.createDataFrame([(i, i * 3) for i in range(100)], "idx long, v long")
-    store.write_u64(values, f"file://{tmp_path}/u64", rows=16)
-    assert sorted(tuple(x) for x in store.read_u64_blocks(spark, f"file://{tmp_path}/u64", rows=16).collect()) == [(i, i * 3) for i in range(100)]
+    signed = values.withColumn("v", F.col("v") - 150)
+    store.write_native(signed, f"file://{tmp_path}/native")
+    assert sorted(tuple(x) for x in store.read_native(spark, f"file://{tmp_path}/native").collect()) == [(i, i * 3 - 150) for i in range(100)]
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "native").glob("part-*")))
+    assert data == struct.pack("=100q", *(i * 3 - 150 for i in range(100)))
+    monkeypatch.setattr(store, "CHUNK", 24)
+    assert sorted(tuple(x) for x in store.read_native(spark, f"file://{tmp_path}/native").collect()) == [(i, i * 3 - 150) for i in range(100)]
+    store.write_native(values.limit(0), f"file://{tmp_path}/none")
+    assert store.read_native(spark, f"file://{tmp_path}/none").count() == 0
     (tmp_path / "raw").write_bytes(struct.pack("=5I", *range(5)))
     assert sorted(tuple(x) for x in store.read_native(spark, f"file://{tmp_path}/raw", width=4).collect()) == [(i, i) for i in range(5)]
     with pytest.raises(Exception, match="no multiple"):
@@ -134,9 +152,9 @@ def test_native_arrays(spark, tmp_path):
 def test_streamed_patterns(spark, tmp_path):
     strings = spark.createDataFrame([(0, "abracadabra")], "str_id long, text string")
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"pattern_id": 1, "pattern": "abra"}\n{"pattern_id": 2, "pattern": "zzzz"}\n')
+    (tmp_path / "in" / "a.json").write_text('{"pattern_id": 1, "pattern": "abra"}\n{"pattern_id": 2, "pattern": "zzzz"}\n{"pattern_id": 3, "pattern": "ca"}\n')
     stream = spark.readStream.schema("pattern_id long, pattern string").json(f"file://{tmp_path}/in")
     run = stream_occurrences(stream, strings, q=3).writeStream.format("memory").queryName("found").option("checkpointLocation", f"file://{tmp_path}/cp").start()
     run.processAllAvailable()
     run.stop()
-    assert sorted(tuple(x) for x in spark.sql("SELECT pattern_id, pos FROM found").collect()) == [(1, 0), (1, 7)]
+    assert sorted(tuple(x) for x in spark.sql("SELECT pattern_id, pos FROM found").collect()) == [(1, 0), (1, 7), (3, 4)]

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from brute import ansv as brute_ansv
@@ -10,6 +11,7 @@ from lexispark.operators import suffix_array as S
 from lexispark.operators.ansv import KINDS, ansv
 from lexispark.session import settle
 
+# The suffix array and the child table of "mississippi", and the ranges of its substrings further below.
 MISSISSIPPI = [10, 7, 4, 1, 0, 9, 8, 6, 3, 5, 2]
 TABLE = {0: [0, 1, 15, 6, 9], 1: [11, 0, 0, 12, 3], 3: [0, 0, 0, 13, 14], 6: [0, 16, 0, 17, 0], 8: [0, 0, 0, 18, 19], 9: [0, 8, 0, 0, 10], 10: [0, 0, 0, 20, 21]}
 
@@ -48,7 +50,7 @@ def repeats(x, reps):
     return [x * i for i in range(1, reps + 1)]
 
 
-SETS = [["abab", "baba"], repeats("ab", 3), repeats("abc", 3), repeats("a", 20), ["", "x", "", "x", "yx"], ["a$b", "日本\U0001f600日", "é\ne"], ["abc", "cba", "bbbb", "a", "c", "abab", "cb"]]
+SETS = [["xyxy", "yxyx", "xyxy"], repeats("no", 4), repeats("q", 17), ["", "x", "", "x", "yx"], ["a$b", "日本\U0001f600日", "é\ne"], ["tea", "eat", "tttt", "a", "e", "teat", "at"]]
 
 
 @pytest.mark.parametrize("texts", SETS)
@@ -65,15 +67,9 @@ def test_string_sets(spark, texts):
     assert checks.check_lcp(index, shared, df).first()["wrong"] == 0
 
 
-def test_known_generalized_array(spark):
-    index = S.suffix_array(strings(spark, ["abab", "baba"]), k=1)
-    assert [r["gidx"] for r in index.sa.orderBy("rank").collect()] == [7, 2, 5, 0, 3, 6, 1, 4]
-    assert [r["lcp"] for r in S.lcp_array(index).orderBy("rank").collect()] == [0, 1, 2, 3, 0, 1, 2, 3]
-
-
 def test_both_strategies_on_random_and_repetitive_sets(spark):
     r = random.Random(3)
-    words = ["helloworld", "blahlablah", "ellow", "worldblah", "rld", "hello"]
+    words = ["anabasis", "banana", "anab", "asisban", "sis", "ana"]
     texts = ["".join(r.choice("ACGT") for _ in range(700)), "".join(r.choice(words) for _ in range(60)), "abc" * 60, "a" * 90]
     df = strings(spark, texts)
     rows = suffix_rows(list(enumerate(texts)))
@@ -82,11 +78,30 @@ def test_both_strategies_on_random_and_repetitive_sets(spark):
     assert [(x["str_id"], x["pos"], x["gidx"], x["lcp"]) for x in local] == [(*x[:3], v) for x, v in zip(rows, lcp_list(rows), strict=True)]
 
 
+def test_more_symbols_than_sixteen_bits(spark):
+    """Common prefixes where codes of symbols have 17 bits."""
+    every = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every), every[65539] + every[3] + every[8], every[3] + every[3] + every[8]]
+    rows = suffix_rows(list(enumerate(texts[1:])))
+    df = strings(spark, texts)
+    found = local_suffix.local_suffix_array(df).where("str_id > 0").select("str_id", "pos", "rank", "lcp").collect()
+    again = S.lcp_array(S.suffix_array(df)).where("str_id > 0").select("str_id", "pos", "rank", "lcp").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    assert [(x["str_id"] - 1, x["pos"]) for x in sorted(found, key=lambda x: x["rank"])] == [x[:2] for x in rows]
+
+
 def test_documents_by_both_strategies(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("str_id"), F.substring("text", 1, 120).alias("text"))
-    rows = suffix_rows([(r["str_id"], r["text"]) for r in df.collect()])
-    assert order(S.suffix_array(df, k=16, times=4).sa) == [x[:3] for x in rows]
-    assert order(local_suffix.local_suffix_array(df)) == [x[:3] for x in rows]
+    """Whole documents: both constructions agree in every row, and the short ones with brute force."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("str_id"), "text")
+    index = S.suffix_array(df, times=4)
+    both = S.lcp_array(index).select("rank", "str_id", "pos", "gidx", "lcp"), local_suffix.local_suffix_array(df).select("rank", "str_id", "pos", "gidx", "lcp")
+    marks = [x.agg(F.count("*"), F.sum(F.xxhash64("rank", "str_id", "pos", "gidx", "lcp") % (1 << 40))).first() for x in both]
+    assert tuple(marks[0]) == tuple(marks[1]) and marks[0][0] > 100_000
+    short = df.where(F.length("text") < 800)
+    rows = suffix_rows([(r["str_id"], r["text"]) for r in short.collect()])
+    index = S.suffix_array(short, k=16, times=3)
+    assert order(index.sa) == [x[:3] for x in rows]
+    assert [r["lcp"] for r in S.lcp_array(index).orderBy("rank").collect()] == lcp_list(rows)
 
 
 def test_checks_find_damage(spark):
@@ -94,8 +109,8 @@ def test_checks_find_damage(spark):
     index = S.suffix_array(df, k=2)
     shared = settle(S.lcp_array(index), "lcp")
     swapped = index.sa.withColumn("rank", F.when(F.col("rank") == 3, 4).when(F.col("rank") == 4, 3).otherwise(F.col("rank")).cast("long"))
-    assert checks.check_sa(S.SuffixArray(swapped, index.levels, index.first, index.sizes), df).first()["unordered"] > 0
-    assert checks.check_sa(S.SuffixArray(index.sa.where("rank != 5"), index.levels, index.first, index.sizes), df).first()["missing_ranks"] == 1
+    assert checks.check_sa(replace(index, sa=swapped), df).first()["unordered"] > 0
+    assert checks.check_sa(replace(index, sa=index.sa.where("rank != 5")), df).first()["missing_ranks"] == 1
     for wrong in (-1, 1):
         bad = shared.withColumn("lcp", F.col("lcp") + F.when(F.col("rank") == 3, wrong).otherwise(0))
         assert checks.check_lcp(index, bad, df).first()["wrong"] > 0
@@ -206,11 +221,15 @@ def recursive_parts(sums, low, high, parts):
 
 def test_bisection(spark):
     r = random.Random(6)
-    for _ in range(60):
-        sizes = [r.randrange(1, 40) for _ in range(r.randrange(1, 60))]
+    for parts in (1, 2, 3, 8, 13):
+        sizes = [r.choice([0, 1, 1, 5, 30]) for _ in range(r.randrange(1, 60))]
         sums = [sum(sizes[: i + 1]) for i in range(len(sizes))]
-        for parts in (1, 2, 3, 8, 13):
-            assert toplevel.bisected(sums, parts) == [0, *recursive_parts(sums, 0, len(sums), parts)]
+        starts = [0, *recursive_parts(sums, 0, len(sums), parts)]
+        rows = toplevel.partition_bins(spark.createDataFrame([(2 * i, n) for i, n in enumerate(sizes)], "bin long, n long"), parts).orderBy("part").collect()
+        assert [x["first_bin"] for x in rows] == starts
+        assert [x["rows"] for x in rows] == [max(0, sum(sizes[a:z])) for a, z in zip(starts, [*starts[1:], len(sizes)], strict=True)]
+    nothing = toplevel.partition_bins(spark.createDataFrame([], "bin long, n long"), 3).collect()
+    assert [(x["first_bin"], x["rows"]) for x in nothing] == [(0, 0)] * 3
     bins = spark.createDataFrame([(i, n) for i, n in enumerate([5, 1, 1, 9, 2, 2])], "bin long, n long")
     found = toplevel.partition_bins(bins, 4)
     assert found.agg(F.sum("rows")).first()[0] == 20
@@ -219,11 +238,11 @@ def test_bisection(spark):
 
 
 def test_packed_kmers(spark):
-    texts = ["abc", "cba", "bbbb", "a", "c", "abab", "cb"]
+    texts = ["tea", "eat", "tttt", "a", "", "teat", "et"]
     df = strings(spark, texts)
     codes = settle(alphabet.codes(df), "codes")
     rows = kmers.packed_kmers(df, codes, 3, 2).orderBy("str_id", "pos")
-    want = [int(x, 16) for x in "1b 2c 30 39 24 10 2a 2a 28 20 10 30 19 26 18 20 38 20".split()]
+    want = [sum(("aet".index(c) + 1) << 2 * (2 - j) for j, c in enumerate(t[p : p + 3])) for t in texts for p in range(len(t))]
     assert [r["packed"] for r in rows.collect()] == want
     text = {(r["str_id"], r["pos"]): r["kmer"] for r in kmers.decode_kmers(rows, codes, 3, 2).collect()}
     assert text == {(i, p): (t[p : p + 3] + "000")[:3] for i, t in enumerate(texts) for p in range(len(t))}
