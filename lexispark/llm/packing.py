@@ -268,8 +268,16 @@ class WordIds:
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, block: int = 1 << 20, group: int = 1024) -> DataFrame:
-    """Pieces of all documents, each id in exactly one piece; block is the number of tokens packed at once."""
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, block: int = 1 << 20, group: int = 1024, whole: bool = False) -> DataFrame:
+    """Pieces of all documents, each id in exactly one piece; block is the number of tokens packed at once.
+
+    whole: what remains of a document after its full windows is not cut again; the window count rises instead.
+    """
+
+    def windows(items: list[Piece]) -> tuple[list[list[Piece]], list[Piece]]:
+        if not whole:
+            return windows_cut(items, capacity)
+        return [[items[i] for i in w] for w in windows_whole([p[2] for p in items], capacity) if w], []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _LOADED:
@@ -305,11 +313,11 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096
                         waiting += n % capacity
                     next_item += 1
                     if waiting >= block:
-                        found, items = windows_cut(items, capacity)
+                        found, items = windows(items)
                         yield rows(found)
                         waiting = sum(p[2] for p in items)
                         held = {i: held[i] for i, _, _ in items}
-        found, items = windows_cut(items, capacity)
+        found, items = windows(items)
         yield rows(found + power_windows(items, capacity))
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

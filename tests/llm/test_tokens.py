@@ -79,6 +79,19 @@ def test_packing(odd, documents, block):
 
 def test_packing_an_empty_table(empty):
     assert packing.pack(empty, WORDS, 2).count() == 0
+    assert packing.pack(empty, WORDS, 2, whole=True).count() == 0
+
+
+def test_whole_remainders(documents):
+    """Without cutting, a document has its full windows and one more piece, and no window exceeds the capacity."""
+    rows = packing.pack(documents, WORDS, 2, capacity=512, block=1 << 14, whole=True).collect()
+    assert sum(r["length"] for r in rows) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values())
+    assert all(r["length"] == (512 if r["start"] + 512 <= r["doc_tokens"] else r["doc_tokens"] % 512) for r in rows)
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 512 and sum(filled.values()) > 0.7 * 512 * len(filled)
 
 
 def test_differencing_and_whole_windows():
