@@ -120,3 +120,8 @@ def search(text: B.Text, order: B.Table, ranges: DataFrame, fan: int | None = No
         closed = closed.unionByName(moved.where("lo >= hi"))
         open_ = moved.where("lo < hi")
     return closed.groupBy("pattern_id").agg(F.max(F.when(F.col("side") == 0, F.col("lo"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("lo"))).alias("r"))
+
+
+def locate_sa(text: B.Text, order: B.Table, patterns: DataFrame) -> DataFrame:
+    """pattern_id, l, r of patterns (pattern_id, pattern; not empty) by search in the whole array, without a q-mer table."""
+    return search(text, order, patterns.select("pattern_id", "pattern", F.lit(0).cast("long").alias("l"), F.lit(text.n).cast("long").alias("r")))

@@ -73,6 +73,10 @@ class TextIndex:
         """pattern_id, l, r from the q-mer table alone: a range that holds the pattern's, exact up to q symbols."""
         return locate.table_ranges(self.qmers, patterns.select("pattern_id", F.substring("pattern", 1, self.q).alias("pattern")))
 
+    def count(self, patterns: DataFrame) -> DataFrame:
+        """pattern_id and n: how often each pattern occurs."""
+        return self.locate(patterns).select("pattern_id", (F.col("r") - F.col("l")).alias("n"))
+
     def places(self, patterns: DataFrame) -> DataFrame:
         """pattern_id, rank, str_id, pos of all occurrences, through the ranges."""
         ranges = self.locate(patterns).where("r > l").selectExpr("pattern_id", "explode(sequence(l, r - 1)) AS rank")

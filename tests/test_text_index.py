@@ -37,6 +37,8 @@ def test_mississippi(spark):
     assert edges.count() == 17
     assert {r["parent"]: [r[f"c{i}"] for i in range(5)] for r in suffix_tree.node_table(edges, 4).collect()} == TABLE
     assert checks.check_suffix_tree(edges, 11).first().asDict() == {"missing_leaves": 0, "several_parents": 0, "loose": 0, "single_child": 0}
+    damaged = {"missing_leaves": edges.where("child != 14"), "several_parents": edges.union(edges.where("child = 14")), "loose": edges.where("child != 8"), "single_child": edges.where("child != 18")}
+    assert all(checks.check_suffix_tree(df, 11).first()[name] > 0 for name, df in damaged.items())
 
 
 @pytest.mark.parametrize("times", [2, 3, 4])
