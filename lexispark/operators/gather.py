@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import exchanged
 
 #: Rows of a vector that are sent to all tasks rather than exchanged, and bytes of a value at most.
 REPLICATED, VALUE_BYTES = 1 << 20, 64
@@ -15,7 +16,7 @@ REPLICATED, VALUE_BYTES = 1 << 20, 64
 def bulk_gather(queries: DataFrame, vector: DataFrame, index: str = "idx", value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """queries (with column index) and the vector's value at that index; null beyond the vector. With keys (as a str_id),
     the index counts inside each string."""
-    return queries.join(vector.select(*keys, F.col("idx").alias(index), value), [*keys, index], "left")
+    return queries.join(exchanged(vector.select(*keys, F.col("idx").alias(index), value)), [*keys, index], "left")
 
 
 def replicated_gather(queries: DataFrame, vector: DataFrame, index: str = "idx", value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -24,12 +25,12 @@ def replicated_gather(queries: DataFrame, vector: DataFrame, index: str = "idx",
     own = vector.select(*keys, F.col("idx").alias(index), value)
     n, widest = own.agg(F.count("*"), F.max(F.octet_length(F.col(value).cast("string")))).first()
     few = n <= REPLICATED and (widest or 0) <= VALUE_BYTES
-    return queries.join(F.broadcast(own) if few else own, [*keys, index], "left")
+    return queries.join(F.broadcast(own) if few else exchanged(own), [*keys, index], "left")
 
 
 def bulk_query(queries: DataFrame, vector: DataFrame, answer: Callable[[DataFrame], Column], index: str = "idx", keys: tuple[str, ...] = ()) -> DataFrame:
     """queries with result = answer(joined row); answer gets the joined frame and returns a column."""
-    joined = queries.join(vector.withColumnRenamed("idx", index), [*keys, index], "left")
+    joined = queries.join(exchanged(vector.withColumnRenamed("idx", index)), [*keys, index], "left")
     return joined.withColumn("result", answer(joined))
 
 
@@ -41,7 +42,7 @@ def bulk_permute(vector: DataFrame, target: str) -> DataFrame:
 def shift(vector: DataFrame, distance: int, value: str = "value", keys: tuple[str, ...] = (), index: str = "idx", out: str = "shifted") -> DataFrame:
     """vector with the value `distance` places further on (0 beyond the end); inside each string where keys are given."""
     ahead = vector.select(*keys, (F.col(index) - distance).alias(index), F.col(value).alias(out))
-    return vector.join(ahead, [*keys, index], "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+    return vector.join(exchanged(ahead), [*keys, index], "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
 
 
 def multi_shift(vector: DataFrame, distance: int, times: int, value: str = "value", keys: tuple[str, ...] = (), index: str = "idx") -> DataFrame:

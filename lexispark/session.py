@@ -53,6 +53,15 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is exchanged, never sent to all tasks by way of the driver.
+
+    Spark guesses the size of rows made of texts or packed blocks from the file they come from, far too small, and would
+    gather millions of them in the driver. Anything that grows with a text is joined so.
+    """
+    return df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
