@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop, scratch, settle, shuffle_partitions
+from ..session import drop, exchanged, scratch, settle, shuffle_partitions
 from . import kmers, stringsets
 
 #: Positions of a block at most, blocks for each partition at least, and symbols of the next block that a block holds.
@@ -180,7 +180,7 @@ def of_strings(strings: DataFrame) -> Text:
                     out = []
             yield from packed(PIECES, out).to_batches()
 
-    placed = ready.join(offsets, "str_id").select("str_id", "pos", "text", "begin", "end")
+    placed = ready.join(exchanged(offsets), "str_id").select("str_id", "pos", "text", "begin", "end")
     table = _stored(spark, placed.mapInArrow(cut, PIECES), np.int32)
 
     def distinct(row: dict) -> list[tuple]:

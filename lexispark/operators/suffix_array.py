@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import drop, scratch, settle, shuffle_partitions
+from ..session import drop, exchanged, scratch, settle, shuffle_partitions
 from . import blocks as B
 from .blocks import distinct, meet, packed, unpacked
 from .common_prefix import common_prefixes
@@ -420,7 +420,7 @@ def lc_array(lcp: DataFrame, chars: DataFrame) -> DataFrame:
 def bwt(index: SuffixArray, chars: DataFrame) -> DataFrame:
     """rank and ch: the symbol before each suffix in its string, '$' at a string's start."""
     before = chars.select("str_id", (F.col("pos") + 1).alias("pos"), "ch")
-    return index.sa.join(before, ["str_id", "pos"], "left").select("rank", F.coalesce("ch", F.lit("$")).alias("ch"))
+    return index.sa.join(exchanged(before), ["str_id", "pos"], "left").select("rank", F.coalesce("ch", F.lit("$")).alias("ch"))
 
 
 def inverse_bwt(index_rows: DataFrame) -> DataFrame:
@@ -436,9 +436,9 @@ def inverse_bwt(index_rows: DataFrame) -> DataFrame:
     seen = rows.sparkSession.createDataFrame([(0, 0)], "t long, at long")
     step = 1
     while step < n:
-        moved = seen.join(jump, "at").select((F.col("t") + step).alias("t"), F.col("to").alias("at"))
+        moved = seen.join(exchanged(jump), "at").select((F.col("t") + step).alias("t"), F.col("to").alias("at"))
         seen = settle(seen.unionByName(moved.where(F.col("t") < n)), "seen")
-        twice = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.at")).select(F.col("a.at").alias("at"), F.col("b.to").alias("to"))
+        twice = jump.alias("a").join(exchanged(jump).alias("b"), F.col("a.to") == F.col("b.at")).select(F.col("a.at").alias("at"), F.col("b.to").alias("to"))
         jump = settle(twice, "jump")
         step *= 2
-    return seen.join(rows, seen["at"] == rows["rank"]).where("ch != ''").select((F.lit(n - 2) - F.col("t")).alias("pos"), "ch")
+    return seen.join(exchanged(rows), seen["at"] == rows["rank"]).where("ch != ''").select((F.lit(n - 2) - F.col("t")).alias("pos"), "ch")

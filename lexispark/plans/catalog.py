@@ -16,7 +16,7 @@ from ..functions import bits
 from ..operators import alphabet, checks, gather, kmers, local_suffix, locate, ranking, rmq, stringsets, suffix_tree, toplevel
 from ..operators import suffix_array as S
 from ..operators.ansv import ansv
-from ..session import scratch, settle, table
+from ..session import exchanged, scratch, settle, table
 from ..sources import store, text
 from .index import TextIndex
 
@@ -44,7 +44,7 @@ def customer_text(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces (str_id, pos, text) of one string: customer names by key, none of them with the others in one row."""
     names = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("str_id"), F.col("c_name").alias("text"))
     places = stringsets.offsets(names).select("str_id", F.col("begin").alias("pos"))
-    return names.join(places, "str_id").select(F.lit(0).cast("long").alias("str_id"), "pos", "text")
+    return names.join(exchanged(places), "str_id").select(F.lit(0).cast("long").alias("str_id"), "pos", "text")
 
 
 def part_set(spark: SparkSession, sf: str) -> DataFrame:
