@@ -400,7 +400,7 @@ def lcp_array(index: SuffixArray) -> DataFrame:
 def with_before(lcp: DataFrame) -> DataFrame:
     """lcp with p_str and p_pos, the place of the suffix before; null at rank 0."""
     before = lcp.select((F.col("rank") + 1).alias("rank"), F.col("str_id").alias("p_str"), F.col("pos").alias("p_pos"))
-    return lcp.join(before, "rank", "left")
+    return lcp.join(exchanged(before), "rank", "left")
 
 
 def string_lcp(a, b):
@@ -413,7 +413,7 @@ def lc_array(lcp: DataFrame, chars: DataFrame) -> DataFrame:
     """rank, lcp and lc: the symbol of the suffix before, right after the common prefix; '$' at its end; null at rank 0."""
     at = chars.select(F.col("str_id").alias("p_str"), F.col("pos").alias("_at"), F.col("ch").alias("lc"))
     keyed = with_before(lcp).withColumn("_at", F.col("p_pos") + F.col("lcp"))
-    found = keyed.join(at, ["p_str", "_at"], "left")
+    found = keyed.join(exchanged(at), ["p_str", "_at"], "left")
     return found.select("rank", "lcp", F.when(F.col("p_str").isNotNull(), F.coalesce("lc", F.lit("$"))).alias("lc"))
 
 
