@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import exchanged, settle
 from . import alphabet, rmq
-from .suffix_array import SuffixArray, with_before
+from .suffix_array import SuffixArray
 
 
 def check_sa(index: SuffixArray, strings: DataFrame) -> DataFrame:
@@ -38,14 +39,17 @@ def check_lcp(index: SuffixArray, lcp: DataFrame, strings: DataFrame) -> DataFra
     which share the smallest value between their ranks (nothing where one of them is the end).
     """
     chars = alphabet.characters(strings)
-    rows = with_before(lcp).join(chars, ["str_id", "pos"]).join(chars.select(F.col("str_id").alias("p_str"), F.col("pos").alias("p_pos"), F.col("ch").alias("p_ch")), ["p_str", "p_pos"], "left")
-    rows = rows.withColumn("same", F.coalesce(F.col("ch") == F.col("p_ch"), F.lit(False)))
-    ahead = index.sa.select("str_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("own"))
-    before = index.sa.select(F.col("str_id").alias("p_str"), (F.col("pos") - 1).alias("p_pos"), F.col("rank").alias("other"))
-    asked = rows.where("same").join(ahead, ["str_id", "pos"]).join(before, ["p_str", "p_pos"]).select(F.col("rank").alias("qid"), (F.col("other") + 1).alias("l"), (F.col("own") + 1).alias("r"))
-    least = rmq.bulk_rmq(asked, lcp.select(F.col("rank").alias("idx"), F.col("lcp").alias("v"))).select(F.col("qid").alias("rank"), "vmin")
-    want = F.when(F.col("same"), 1 + F.coalesce("vmin", F.lit(0).cast("long"))).otherwise(0)
-    return rows.join(least, "rank", "left").where(F.col("lcp") != want).agg(F.count("*").alias("wrong"))
+    after = index.sa.select("str_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("then"))
+    full = lcp.join(exchanged(chars), ["str_id", "pos"]).join(exchanged(after), ["str_id", "pos"], "left").select("rank", "lcp", "ch", "then")
+    before = full.select((F.col("rank") + 1).alias("rank"), F.col("ch").alias("b_ch"), F.col("then").alias("b_then"))
+    same = F.coalesce(F.col("ch") == F.col("b_ch"), F.lit(False)).alias("same")
+    rows = settle(full.join(exchanged(before), "rank", "left").select("rank", "lcp", same, (F.col("b_then") + 1).alias("l"), (F.col("then") + 1).alias("r")), "pairs")
+    goes_on = F.col("same") & (F.col("r") > F.coalesce("l", "r"))  # else nothing lies between the suffixes one place on
+    asked = rows.where(goes_on).select(F.col("rank").alias("qid"), "l", "r", "lcp")
+    least = rmq.bulk_rmq(asked, lcp.select(F.col("rank").alias("idx"), F.col("lcp").alias("v")))
+    wrong = least.where(F.col("lcp") != 1 + F.coalesce("vmin", F.lit(0).cast("long"))).select("lcp")
+    alone = rows.where(~F.coalesce(goes_on, F.lit(False)) & (F.col("lcp") != F.col("same").cast("long"))).select("lcp")
+    return wrong.unionByName(alone).agg(F.count("*").alias("wrong"))
 
 
 def check_suffix_tree(edges: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import exchanged, settle
 
 BLOCK = 64
 
@@ -27,20 +27,20 @@ def bulk_rmq(queries: DataFrame, values: DataFrame, payload: str | None = None,
     while 2 * span <= n:
         last = tables[-1]
         ahead = last.select((F.col("b") - span).alias("b"), F.col("m").alias("m2"))
-        tables.append(settle(last.join(ahead, "b").select((F.col("k") + 1).alias("k"), "b", F.least("m", "m2").alias("m")), "level"))
+        tables.append(settle(last.join(exchanged(ahead), "b").select((F.col("k") + 1).alias("k"), "b", F.least("m", "m2").alias("m")), "level"))
         span *= 2
     table = tables[0]
     for t in tables[1:]:
         table = table.unionByName(t)
     q = queries.where("r > l").select("qid", "l", (F.col("r") - 1).alias("z"), F.floor(F.col("l") / block).cast("long").alias("x"), F.floor((F.col("r") - 1) / block).cast("long").alias("y"))
-    inside = q.where("x = y").join(ends.select(F.col("b").alias("x"), "idx", "e"), "x").where("idx BETWEEN l AND z").groupBy("qid").agg(F.min("e").alias("e"))
+    inside = q.where("x = y").join(exchanged(ends.select(F.col("b").alias("x"), "idx", "e")), "x").where("idx BETWEEN l AND z").groupBy("qid").agg(F.min("e").alias("e"))
     wide = q.where("x < y")
-    left = wide.join(ends.select(F.col("idx").alias("l"), F.col("behind").alias("e")), "l").select("qid", "e")
-    right = wide.join(ends.select(F.col("idx").alias("z"), F.col("ahead").alias("e")), "z").select("qid", "e")
+    left = wide.join(exchanged(ends.select(F.col("idx").alias("l"), F.col("behind").alias("e"))), "l").select("qid", "e")
+    right = wide.join(exchanged(ends.select(F.col("idx").alias("z"), F.col("ahead").alias("e"))), "z").select("qid", "e")
     middle = wide.where("y - x > 1").withColumn("k", (F.length(F.bin(F.greatest(F.col("y") - F.col("x") - 1, F.lit(1)))) - 1).cast("int"))
     first = middle.select("qid", "k", (F.col("x") + 1).alias("b"))
     second = middle.select("qid", "k", F.expr("y - shiftleft(1L, k)").alias("b"))
-    across = first.unionByName(second).join(table, ["k", "b"]).select("qid", F.col("m").alias("e"))
+    across = first.unionByName(second).join(exchanged(table), ["k", "b"]).select("qid", F.col("m").alias("e"))
     best = inside.unionByName(left).unionByName(right).unionByName(across).groupBy("qid").agg(F.min("e").alias("e"))
     columns = [F.col("e.idx").alias("argmin"), F.col("e.v").alias("vmin"), *([F.col("e.payload").alias(payload)] if payload else [])]
-    return queries.join(best, "qid", "left").select(*queries.columns, *columns)
+    return queries.join(exchanged(best), "qid", "left").select(*queries.columns, *columns)
