@@ -16,13 +16,13 @@ def check_sa(index: SuffixArray, strings: DataFrame) -> DataFrame:
     n = chars.count()
     spark = strings.sparkSession
     sa = index.sa
-    ranks = spark.range(n).select(F.col("id").alias("rank")).join(sa, "rank", "left_anti").agg(F.count("*").alias("missing_ranks"))
-    places = chars.join(sa, ["str_id", "pos"], "left_anti").agg(F.count("*").alias("missing_places"))
+    ranks = spark.range(n).select(F.col("id").alias("rank")).join(exchanged(sa), "rank", "left_anti").agg(F.count("*").alias("missing_ranks"))
+    places = chars.join(exchanged(sa), ["str_id", "pos"], "left_anti").agg(F.count("*").alias("missing_places"))
     repeated = sa.groupBy("str_id", "pos").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("repeated"))
     after = sa.select("str_id", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("then"))
-    full = sa.join(chars, ["str_id", "pos"]).join(after, ["str_id", "pos"], "left").select("rank", "gidx", "ch", F.coalesce("then", F.lit(-1).cast("long")).alias("then"))
+    full = sa.join(exchanged(chars), ["str_id", "pos"]).join(exchanged(after), ["str_id", "pos"], "left").select("rank", "gidx", "ch", F.coalesce("then", F.lit(-1).cast("long")).alias("then"))
     before = full.select((F.col("rank") + 1).alias("rank"), F.col("ch").alias("b_ch"), F.col("then").alias("b_then"), F.col("gidx").alias("b_gidx"))
-    pair = full.join(before, "rank")
+    pair = full.join(exchanged(before), "rank")
     # two suffixes that both end here are equal and stand in order of place
     wrong = (F.col("b_ch") > F.col("ch")) | ((F.col("b_ch") == F.col("ch")) & F.when((F.col("then") < 0) & (F.col("b_then") < 0), F.col("b_gidx") > F.col("gidx")).otherwise(F.col("b_then") > F.col("then")))
     unordered = pair.where(wrong).agg(F.count("*").alias("unordered"))
@@ -55,9 +55,9 @@ def check_lcp(index: SuffixArray, lcp: DataFrame, strings: DataFrame) -> DataFra
 def check_suffix_tree(edges: DataFrame, n: int) -> DataFrame:
     """orphans (nodes without or with several parents), unreachable parents, and inner nodes with one child only."""
     children = edges.groupBy("child").agg(F.count("*").alias("n"))
-    leaves = edges.sparkSession.range(n, 2 * n).select(F.col("id").alias("child")).join(children, "child", "left_anti").agg(F.count("*").alias("missing_leaves"))
+    leaves = edges.sparkSession.range(n, 2 * n).select(F.col("id").alias("child")).join(exchanged(children), "child", "left_anti").agg(F.count("*").alias("missing_leaves"))
     several = children.where("n > 1").agg(F.count("*").alias("several_parents"))
-    loose = edges.select(F.col("parent").alias("child")).where("child != 0").distinct().join(children, "child", "left_anti").agg(F.count("*").alias("loose"))
+    loose = edges.select(F.col("parent").alias("child")).where("child != 0").distinct().join(exchanged(children), "child", "left_anti").agg(F.count("*").alias("loose"))
     single = edges.where("parent != 0").groupBy("parent").agg(F.count("*").alias("n")).where("n < 2").agg(F.count("*").alias("single_child"))
     out = leaves
     for part in (several, loose, single):
