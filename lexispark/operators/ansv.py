@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle, shuffle_partitions
+from ..session import exchanged, settle, shuffle_partitions
 
 BLOCK, MOST_BLOCKS, ASKED = 1 << 16, 1 << 22, 1 << 22
 KINDS = ("nearest_sm", "nearest_eq", "furthest_eq")
@@ -104,9 +104,9 @@ def _nearest(values: DataFrame, equal: bool, size: int, minima: np.ndarray) -> D
     answered = rows.where("target IS NULL").select("idx", "v", "j")
     asked = rows.where("source IS NOT NULL").select("target", "source", "places", "values")
     copies = asked.groupBy("target").agg(F.ceil(F.sum(F.length("places")) / (8 * ASKED)).alias("copies"))
-    chains = rows.where("target IS NOT NULL AND source IS NULL").select("target", F.col("places").alias("chain"), F.col("values").alias("low")).join(copies, "target")
+    chains = rows.where("target IS NOT NULL AND source IS NULL").select("target", F.col("places").alias("chain"), F.col("values").alias("low")).join(exchanged(copies), "target")
     copied = chains.withColumn("salt", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("copies")
-    salted = asked.join(copies, "target").withColumn("salt", F.pmod("source", "copies")).drop("copies")
+    salted = asked.join(exchanged(copies), "target").withColumn("salt", F.pmod("source", "copies")).drop("copies")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +115,7 @@ def _nearest(values: DataFrame, equal: bool, size: int, minima: np.ndarray) -> D
                 at = np.searchsorted(low, v, side="right" if equal else "left") - 1  # a chain's values rise
                 yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(v), pa.array(chain[at])], names=["idx", "v", "j"])
 
-    met = salted.join(copied, ["target", "salt"]).select("places", "values", "chain", "low")
+    met = salted.join(exchanged(copied), ["target", "salt"]).select("places", "values", "chain", "low")
     return answered.unionByName(met.mapInArrow(look, "idx long, v long, j long"))
 
 
@@ -136,6 +136,6 @@ def ansv(values: DataFrame, side: str, kind: str, default: int, block: int = BLO
     if kind == "furthest_eq":
         smaller = settle(_nearest(rows, False, size, low).select(F.col("idx").alias("j"), F.col("v").alias("u"), F.coalesce("j", F.lit(-1).cast("long")).alias("s")), "smaller")
         first = smaller.groupBy("u", "s").agg(F.min("j").alias("first"))
-        named = smaller.join(first, ["u", "s"]).select("j", "first")
-        found = found.join(named, "j", "left").select("idx", "v", F.col("first").alias("j"))
+        named = smaller.join(exchanged(first), ["u", "s"]).select("j", "first")
+        found = found.join(exchanged(named), "j", "left").select("idx", "v", F.col("first").alias("j"))
     return found.select("idx", "v", F.coalesce("j", F.lit(default).cast("long")).alias("match"))

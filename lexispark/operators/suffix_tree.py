@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import exchanged, settle
 from .ansv import ansv
 from .suffix_array import SuffixArray
 
@@ -20,8 +20,8 @@ def parents(lcp: DataFrame) -> DataFrame:
     left = ansv(values, "left", "furthest_eq", -1).select("idx", F.col("match").alias("f"))
     right = ansv(values, "right", "nearest_sm", -1).select("idx", F.col("match").alias("r"))
     ahead = values.select((F.col("idx") - 1).alias("idx"), F.col("v").alias("after"))
-    rows = values.join(left, "idx").join(right, "idx").join(ahead, "idx", "left")
-    rows = rows.join(values.select(F.col("idx").alias("f"), F.col("v").alias("lf")), "f", "left").join(values.select(F.col("idx").alias("r"), F.col("v").alias("lr")), "r", "left")
+    rows = values.join(exchanged(left), "idx").join(exchanged(right), "idx").join(exchanged(ahead), "idx", "left")
+    rows = rows.join(exchanged(values.select(F.col("idx").alias("f"), F.col("v").alias("lf"))), "f", "left").join(exchanged(values.select(F.col("idx").alias("r"), F.col("v").alias("lr"))), "r", "left")
     own = F.coalesce("after", F.lit(0).cast("long")) <= F.col("v")
     leaf = rows.select(
         F.when(~own, F.col("idx") + 1).when(F.col("lf") == F.col("v"), F.col("f")).otherwise(F.col("idx")).alias("parent"),
@@ -39,9 +39,9 @@ def suffix_tree(index: SuffixArray, lcp: DataFrame, chars: DataFrame, alphabet:
 
     In a generalized tree several edges of a node can have code 0, one for each string that ends there.
     """
-    edges = parents(lcp).join(index.sa.select("rank", "str_id", "pos"), "rank").withColumn("at", F.col("pos") + F.col("depth"))
+    edges = parents(lcp).join(exchanged(index.sa.select("rank", "str_id", "pos")), "rank").withColumn("at", F.col("pos") + F.col("depth"))
     symbols = chars.join(F.broadcast(alphabet), "ch").select("str_id", F.col("pos").alias("at"), "code")
-    return edges.join(symbols, ["str_id", "at"], "left").select("parent", F.coalesce("code", F.lit(0).cast("long")).alias("code"), "child")
+    return edges.join(exchanged(symbols), ["str_id", "at"], "left").select("parent", F.coalesce("code", F.lit(0).cast("long")).alias("code"), "child")
 
 
 def node_table(edges: DataFrame, sigma: int) -> DataFrame:
